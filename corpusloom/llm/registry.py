@@ -7,7 +7,7 @@ import importlib
 from corpusloom.shipping import shipped
 
 #: Module of each registered query, in order.
-_MODULES = ("chat", "token_count")
+_MODULES = ("chat", "token_count", "warc", "packing")
 
 
 def _loaded():
