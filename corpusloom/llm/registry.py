@@ -7,7 +7,7 @@ import importlib
 from corpusloom.shipping import shipped
 
 #: Module of each registered query, in order.
-_MODULES = ("chat", "token_count", "warc", "decontaminate", "secrets", "packing")
+_MODULES = ("chat", "token_count", "warc", "language_id", "decontaminate", "secrets", "packing")
 
 
 def _loaded():

@@ -35,7 +35,7 @@ SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 400
 #: Credentials of a kind below which nothing is learned.
 LEAST = 20
 #: Significance of the test for compatible states.
-ALPHA = 0.01
+ALPHA = 0.1
 #: Shortest candidate token.
 SHORTEST = 16
 
@@ -175,7 +175,7 @@ class Model:
         self.kinds = {k: Automaton(words) for k, words in positives.items() if len(words) >= LEAST}
         self.ordinary = Automaton(negatives or ["a"])
         own = sorted(self.best(w)[0] for k in self.kinds for w in positives[k])
-        other = sorted(self.best(w)[0] for w in negatives) if self.kinds else []
+        other = sorted(self.best(w)[0] for w in negatives if len(w) >= SHORTEST and DIGIT(w)) if self.kinds else []
         self.threshold = max([0.0, *own[len(own) // 50 : len(own) // 50 + 1], *(x + 1e-9 for x in other[-1 - len(other) // 1000 :][:1])])
 
     def best(self, word: str) -> tuple[float, str]:
