@@ -5,8 +5,8 @@ features (hashed), learned transitions between neighbouring words, marginals by
 forward-backward over chains of CHAIN words. A text's language is the label with the most
 posterior mass over all its words, and its score the mean posterior of that label.
 
-Training is on a bounded sample of labelled texts: about SAMPLE_WORDS words per language,
-picked by hash over the whole table. Lines of the sample are shuffled into chains that
+Training is on a bounded sample of labelled texts: about SAMPLE_DOCS per language of at most
+SAMPLE_BYTES, picked by hash over the whole table, and SAMPLE_WORDS words of their lines. Lines of the sample are shuffled into chains that
 change language on the way, so transitions are learned from code-switched sequences.
 The conditional log-likelihood is maximised by adaptive gradient steps.
 
@@ -34,11 +34,13 @@ NAME = "op5_language_id"
 UNKNOWN = "und"
 FOLDS = 5
 #: Words per language that training uses at most, and the hash space of features.
-SAMPLE_WORDS, DIMS = 120_000, 1 << 17
-#: Documents per language that are looked at for them, on average.
-SAMPLE_DOCS = 1_000
+SAMPLE_WORDS, DIMS = 60_000, 1 << 17
+#: Documents per language that are looked at for them, on average, and their longest in bytes.
+SAMPLE_DOCS, SAMPLE_BYTES = 300, 1 << 18
 CHAIN = 64
-EPOCHS, RATE, DECAY = 40, 0.5, 1e-5
+EPOCHS, RATE, DECAY = 30, 0.1, 1e-6
+#: Share of a feature's log odds that training starts from; a word's features overlap.
+START = 0.15
 #: Most frequent words of a language that form its lexicon.
 LEXICON = 4_000
 #: Words whose emissions a worker remembers.
@@ -113,25 +115,24 @@ class CRF:
             return None
         rng = np.random.default_rng(7)
         number = {lang: i for i, lang in enumerate(labels)}
-        lines, used = [], dict.fromkeys(labels, 0)
+        every, lines, used = [], [], [0] * len(labels)
         counts: list[dict[str, int]] = [{} for _ in labels]
         for lang, text in texts:
             for line in text.split("\n"):
                 words = WORDS(line.lower())
-                for i in range(0, len(words), 24):
-                    if used[lang] >= sample_words:
-                        break
-                    part = words[i : i + 24]
-                    used[lang] += len(part)
-                    lines.append((number[lang], part))
-                    for w in part:
-                        counts[number[lang]][w] = counts[number[lang]].get(w, 0) + 1
+                every += [(number[lang], words[i : i + 24]) for i in range(0, len(words), 24)]
+        for k in rng.permutation(len(every)):
+            lang, part = every[k]
+            if used[lang] < sample_words:
+                used[lang] += len(part)
+                lines.append((lang, part))
+                for w in part:
+                    counts[lang][w] = counts[lang].get(w, 0) + 1
         if not lines:
             return None
         lexicon = frozenset(w for c in counts for w in sorted(c, key=lambda w: (-c[w], w))[:LEXICON])
         words, tokens, gold = {}, [], []
-        for k in rng.permutation(len(lines)):
-            lang, part = lines[k]
+        for lang, part in lines:
             for w in part:
                 tokens.append(words.setdefault(w, len(words)))
                 gold.append(lang)
@@ -149,6 +150,11 @@ class CRF:
         pairs = live[1:] & live[:-1]
         gold_pairs = np.einsum("tci,tcj->ij", one[:-1] * pairs[:, :, None], one[1:])
         weights, trans, begin = np.zeros((DIMS, m)), np.zeros((m, m)), np.zeros(m)
+        # start from the log odds of features
+        per = np.stack([np.bincount(owner_of, minlength=len(feats)) for owner_of in (np.array(tokens)[np.array(gold) == j] for j in range(m))], axis=1)
+        seen = np.stack([np.bincount(flat, weights=per[owner, j], minlength=DIMS) for j in range(m)], axis=1)
+        odds = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5))
+        weights += START * np.where(seen.sum(axis=1, keepdims=True) > 0, odds - odds.mean(axis=1, keepdims=True), 0)
         memory = [np.full_like(x, 1e-8) for x in (weights, trans, begin)]
         for _ in range(epochs):
             emission = np.add.reduceat(weights[flat], heads, axis=0)
@@ -244,9 +250,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, int(min(1.0, sample_docs / n) * space)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share)
-    # a text counts with its first words here only: training needs no more than sample_words of a language
-    rows = picked.select("lang", F.substring("text", 1, 8 * sample_words // max(1, sample_docs)).alias("text"), F.xxhash64("doc_id", "text").alias("h")).collect()
+    picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share) & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
     return CRF.train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))], sample_words)
 
 
