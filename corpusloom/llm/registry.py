@@ -7,7 +7,7 @@ import importlib
 from corpusloom.shipping import shipped
 
 #: Module of each registered query, in order.
-_MODULES = ("chat", "token_count", "warc", "language_id", "decontaminate", "secrets", "near_dup", "packing")
+_MODULES = ("chat", "token_count", "embedding_dup", "warc", "language_id", "license_scan", "decontaminate", "secrets", "near_dup", "packing")
 
 
 def _loaded():
