@@ -6,7 +6,9 @@ FLAGSHIP = "V1_dense_top10_metrics"
 
 
 def _modules():
-    return ()
+    from . import dense
+
+    return (dense,)
 
 
 def queries() -> dict:
