@@ -39,11 +39,12 @@ def regex_tokens(text: Column | str, uncased: bool = False) -> Column:
 
 def ngrams(tokens: Column, n: int, keep=None) -> Column:
     """All runs of 1 to n tokens joined by a blank (F8); keep filters them."""
-    size = F.size(tokens)
-    grams = [
-        F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
-        for k in range(1, n + 1)
-    ]
+    size, none = F.size(tokens), F.array().cast("array<string>")
+
+    def runs(k: int) -> Column:
+        return F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))).otherwise(none)
+
+    grams = [runs(k) for k in range(1, n + 1)]
     out = F.concat(*grams)
     return F.filter(out, keep) if keep else out
 

@@ -1,6 +1,5 @@
 """Question answering: answer match, overlap scores, hit curves."""
 
-from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from corpusloom.shipping import shipped
+
 FLAGSHIP = "V1_dense_top10_metrics"
 
 
 def _modules():
-    from . import dense
+    from . import data, dense, io, texts
 
-    return (dense,)
+    return dense, texts, data, io
 
 
 def queries() -> dict:
     out: dict = {}
     for module in _modules():
-        out |= module.QUERIES
+        out |= {name: shipped(fn) for name, fn in module.QUERIES.items()}
     return out
 
 
