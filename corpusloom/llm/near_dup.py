@@ -4,12 +4,11 @@
    signature of HASHES minimum hashes. Equal sets are one node from here on.
 2. Signatures are cut into bands; equal band values make a bucket. Buckets with the same
    members count once.
-3. Every member of a bucket is compared with the bucket's smallest node. Then, as long as
-   a bucket holds several components, members of different components are compared with
-   each other, in tiles of bounded size, the most similar first; pairs within one
-   component need no comparison, as they are connected already. So no pair of a bucket
-   goes unexamined that could join two components, and a group of n copies costs about
-   n comparisons.
+3. Every member of a bucket is compared with the bucket's smallest node. Where that leaves
+   a bucket with several components, members of different components are compared with
+   each other in tiles of bounded size, the most similar first, until they are connected;
+   pairs within one component need no comparison. So no pair of a bucket goes unexamined
+   that could join two components, and a task returns links that join, never all pairs.
 4. A comparison looks at BATCH hashes at a time and stops once the posterior probability
    (uniform prior) of reaching the threshold falls below MISS; survivors are verified on
    their full shingle sets.
@@ -42,16 +41,16 @@ WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-6
-#: Members of one bucket that meet in one task, and pairs of a member that a round verifies at first.
-TILE, FIRST_PAIRS = 1024, 4
+#: Members of one bucket and side that meet in one group of a task.
+TILE = 512
 #: Bits of the filter that tells which documents' sets are needed; larger inputs make it less sharp, not larger.
 FILTER_BITS = 1 << 27
 MEMO = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(20)
-_A = _MIX.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _MIX.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _MIX.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _MIX.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 class WordHash(dict):
@@ -66,6 +65,10 @@ class WordHash(dict):
         return h
 
 
+#: A worker keeps its word hashes from task to task.
+_WORDS = WordHash()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -87,18 +90,20 @@ def shingles(text: bytes | None, width: int, words: WordHash) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a set."""
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+    """The minimum of each hash function over a set, in steps that stay in a core's cache."""
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    found = (found >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(found), 2048):
-            part = found[at : at + 2048]
-            out = np.minimum(out, ((part[:, None] * _A + _B) >> np.uint64(32)).min(axis=0))
+        for at in range(0, len(found), 128):
+            x = found[at : at + 128, None] * _A
+            x += _B
+            np.minimum(out, x.min(axis=0), out=out)
     return out.astype("<u4")
 
 
 def _sign_kernel(width: int):
     def run(batches):
-        words = WordHash()
+        words = _WORDS
         for part in common.slices(batches, "text"):
             sizes, keys, signs = [], [], []
             for text in common.raw_texts(part.column("text")):
@@ -113,7 +118,7 @@ def _sign_kernel(width: int):
 
 def _set_kernel(width: int, bits, mask: int):
     def run(batches):
-        words, found = WordHash(), bits.value
+        words, found = _WORDS, bits.value
         for part in common.slices(batches, "text"):
             at = part.column("h").to_numpy(zero_copy_only=False).astype(np.int64) & mask
             wanted = np.flatnonzero((found[at >> 3] >> (at & 7)) & 1)
@@ -163,47 +168,52 @@ def _prune_kernel(percent: int):
 def _exact_kernel(percent: int):
     def run(batches):
         for part in common.slices(batches, "set_a"):
-            linked = []
-            for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            pairs = zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True)
+            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
 _PAIRS = "a bigint, b bigint"
-_TILED = "a bigint, b bigint, more boolean"
 
 
-def _tile_kernel(percent: int, most: int):
-    """Of a tile, each member's most similar partners of other components, at most `most`; more: there were others."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold; sizes alone may tell that they don't."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _tile_kernel(percent: int):
+    """Verified links of a tile that join components."""
     steps = least_matches(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         side = table.column("tile").to_numpy()
         sign = _signs(table.column("sign").combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         two = side.min() != side.max()
         left = np.flatnonzero(side == side.min())
         right = np.flatnonzero(side == side.max()) if two else left
-        out_a, out_b, out_more = [], [], []
+        links = []
         for i in left.tolist():
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if not two else True)]
+            other = right[comp[right] != comp[i]]
             matches, before = np.zeros(len(other), np.int64), 0
             for n, least in steps:
+                if not len(other):
+                    break
                 matches = matches + (sign[other, before:n] == sign[i, before:n]).sum(axis=1)
                 on = matches >= least
                 other, matches, before = other[on], matches[on], n
-                if not len(other):
-                    break
-            if len(other):
-                best = np.lexsort((node[other], -matches))[:most]
-                out_a += [min(int(node[i]), int(node[j])) for j in other[best]]
-                out_b += [max(int(node[i]), int(node[j])) for j in other[best]]
-                out_more += [len(other) > most] * len(best)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "more": pa.array(out_more, pa.bool_())})
+            for j in other[np.argsort(-matches, kind="stable")].tolist():
+                if comp[i] != comp[j] and _linked(sets[i], sets[j], percent):
+                    links.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
@@ -239,20 +249,15 @@ def _bits(nodes: DataFrame, many: int) -> tuple[np.ndarray, int]:
     return out, size - 1
 
 
-class _Verifier:
-    """Verifies pairs of nodes and remembers which were."""
-
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
-        self.nodes, self.sets, self.percent = nodes, sets, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        sign = self.nodes.select("node", "sign")
-        left = pairs.join(sign.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
-        both = left.join(sign.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").select("a", "b", "sign_a", "sign_b")
-        kept = both.mapInArrow(_prune_kernel(self.percent), _PAIRS)
-        left = kept.join(self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        both = left.join(self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return common.materialize(both.mapInArrow(_exact_kernel(self.percent), _PAIRS), "dup-links")
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) that are linked: pruned on signatures, then verified on sets. nodes(node, sign, set)."""
+    sign = nodes.select("node", "sign")
+    left = pairs.join(sign.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
+    both = left.join(sign.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").select("a", "b", "sign_a", "sign_b")
+    kept = both.mapInArrow(_prune_kernel(percent), _PAIRS)
+    left = kept.join(nodes.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    return common.materialize(both.mapInArrow(_exact_kernel(percent), _PAIRS), "dup-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -274,34 +279,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     bits, mask = _bits(wanted, wanted.count())
     sent = spark.sparkContext.broadcast(bits)
     sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_set_kernel(width, sent, mask), "node bigint, set binary")
-    sets = common.materialize(sets.join(wanted, "node", "left_semi"), "dup-sets")
-    verifier = _Verifier(reps.join(wanted, "node", "left_semi"), sets, percent)
+    nodes = common.materialize(sets.join(reps.select("node", "sign").join(wanted, "node", "left_semi"), "node"), "dup-sets")
 
-    tested = common.materialize(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "dup-pairs")
-    links = verifier.links(tested)
+    stars = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = _verified(stars, nodes, percent)
     parts = common.materialize(components(links), "dup-components")
-    most = FIRST_PAIRS
-    larger = member.where("n > 2").select("bucket", "node", "n")
-    while True:
-        now = larger.join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        tiles = F.ceil(F.col("n") / TILE).cast("int")
-        open_ = now.join(mixed, "bucket", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        open_ = open_.join(verifier.nodes.select("node", "sign"), "node").select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "node", "component", "tile", "sign")
-        found = open_.groupBy("bucket", "t1", "t2").applyInArrow(_tile_kernel(percent, most), _TILED)
-        found = common.materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")), "dup-tiled")
-        fresh = common.materialize(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "dup-pairs")
-        if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
-            new = verifier.links(fresh)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                parts = common.materialize(components(links), "dup-components")
-                continue
-        elif found.where("more").isEmpty():
-            break
-        most *= 8
+    now = member.where("n > 2").join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    open_ = now.join(mixed, "bucket", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    open_ = open_.join(nodes, "node").select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "node", "component", "tile", "sign", "set")
+    more = common.materialize(open_.groupBy("bucket", "t1", "t2").applyInArrow(_tile_kernel(percent), _PAIRS), "dup-tiled")
+    if not more.isEmpty():
+        parts = common.materialize(components(links.unionByName(more)), "dup-components")
 
     merged = reps.join(parts, "node", "left").where("many > 1 or component is not null").select("key", F.coalesce("component", "node").alias("component"))
     out = rows.join(merged, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
