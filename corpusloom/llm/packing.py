@@ -13,10 +13,14 @@ document of its own, repeated doc_ids included; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import struct
 import zlib
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ GROUP_ROWS = 20_000
 #: Merging stops when a round saves less than one bin in this many.
 SETTLED = 200
 #: Words whose ids a worker remembers.
-MEMO = 700_000
+MEMO = 500_000
 
 PIECE = pa.struct(
     [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("text_no", pa.int64())]
@@ -46,47 +50,87 @@ BINS_DDL = (
 
 
 class WordIds:
-    """Ids (little-endian unsigned 32-bit) of a text by a tokenizer file that cuts texts into
-    letters, single digits and other runs before merging. Words are looked up one by one
-    and remembered; a text with a character or string for which that is not known to be
+    """Ids (little-endian unsigned 32-bit) of a text by a tokenizer file that drops white space and cuts
+    the rest into letters, single digits and other runs before merging. Words are looked up
+    once and remembered; a text with a character or string for which that is not known to be
     the same goes to the library whole."""
 
     LETTERS = "a-z\\u00df-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u014a-\\u017e"
     PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e" + "A-Z\\u00c0-\\u00d6\\u00d8-\\u00de" + LETTERS + "]*").fullmatch
-    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + "]+|[0-9]|[^\\s0-9" + LETTERS + "]+").findall
+    WORDS = re.compile("[" + LETTERS + "]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s0-9" + LETTERS + "]+").findall
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core only
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        #: For each id whether it ends a word; None where the vocabulary doesn't mark that.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in encoded]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: many in one text, cut where a word ends."""
+        out = []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            if self.ends is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) == len(some) and stops[-1] == len(ids):
+                    raw = ids.tobytes()
+                    out += [raw[4 * b : 4 * e] for b, e in zip([0, *stops], stops)]
+                    continue
+            out += self._library(some)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        words, rest = {}, []
+        plain, rest, get = {}, [], self.memo.get
+        gaps: dict[int, list[int]] = {}
         for k, t in enumerate(texts):
-            if any(s in t for s in self.special) or not self.PLAIN(t):
-                rest.append(k)
+            if self.PLAIN(t) and not any(s in t for s in self.special):
+                words = self.WORDS(t.lower())
+                ids = list(map(get, words))
+                plain[k] = words, ids
+                if None in ids:
+                    gaps[k] = [i for i, x in enumerate(ids) if x is None]
             else:
-                words[k] = self.WORDS(t.lower())
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        missing = list({w for ws in words.values() for w in ws}.difference(memo))
-        memo.update(zip(missing, self._library(missing), strict=True))
-        get = memo.__getitem__
-        for k, ws in words.items():
-            out[k] = b"".join(map(get, ws))
+                rest.append(k)
+        new = list({plain[k][0][i] for k, at in gaps.items() for i in at})
+        found = dict(zip(new, self._words(new), strict=True))
+        for k, at in gaps.items():
+            words, ids = plain[k]
+            for i in at:
+                ids[i] = found[words[i]]
+        for k, (_, ids) in plain.items():
+            out[k] = b"".join(ids)
+        if len(self.memo) < MEMO:  # frequent words come early; what comes when it is full is not kept
+            self.memo.update(found)
         for k, ids in zip(rest, self._library([texts[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
 
+#: A worker keeps what it has learned from task to task.
+_LEARNED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LEARNED:
+        _LEARNED[path] = WordIds(path)
+    return _LEARNED[path]
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins (lists of indices) of a best-fit packing, longest first; ties keep the input's order.
     Room left is one of capacity + 1 values, so open bins are kept in a list per value."""
@@ -133,7 +177,7 @@ def _task() -> int:
 
 def _first_round(path: str, capacity: int, end_id: int, nearly: int):
     def run(batches):
-        words, tail, task, seen, base = WordIds(path), end_id.to_bytes(4, "little"), _task(), 0, 0
+        words, tail, task, seen, base = word_ids(path), end_id.to_bytes(4, "little"), _task(), 0, 0
         items, fills = [], []
         for part in common.slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]

@@ -102,9 +102,19 @@ class PieceCounter:
         return total
 
 
+#: A worker keeps what it has counted from task to task.
+_LEARNED: dict[str, PieceCounter] = {}
+
+
+def piece_counter(model_file: str) -> PieceCounter:
+    if model_file not in _LEARNED:
+        _LEARNED[model_file] = PieceCounter(model_file)
+    return _LEARNED[model_file]
+
+
 def _kernel(model_file: str, limit: int):
     def run(batches):
-        counter = PieceCounter(model_file)
+        counter = piece_counter(model_file)
         for part in common.slices(batches, "text"):
             texts = part.column("text").to_pylist()
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
