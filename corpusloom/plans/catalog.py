@@ -8,9 +8,9 @@ FLAGSHIP = "V1_dense_top10_metrics"
 
 
 def _modules():
-    from . import data, dense, io, texts
+    from . import data, dense, io, more, texts
 
-    return dense, texts, data, io
+    return dense, texts, data, io, more
 
 
 def queries() -> dict:
