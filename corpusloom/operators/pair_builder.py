@@ -31,7 +31,7 @@ def pretraining_pairs(
     weights = weights or {"title": 1.0, "phrase": 1.0, "crop": 1.0, "output": 1.0}
     key = F.col("doc_id")
     rows = docs.where("text is not null").withColumn("_w", words("text")).where(F.size("_w") > 0)
-    rows = rows.withColumn("_ctx", crop(F.col("_w"), seed, key, 1.0, max_context, 1, max_context, crop_to_maxlen=True))
+    rows = rows.withColumn("_ctx", crop(F.col("_w"), seed, key, max_context, max_context, 1, max_context, crop_to_maxlen=True))
     title = F.col("title") if "title" in docs.columns else title_of("text", F.col(title_source) if title_source and title_source in docs.columns else None)
     phrases = F.transform("phrases", clean_phrase) if "phrases" in docs.columns else F.array().cast("array<string>")
     outputs = F.map_values("outputs") if "outputs" in docs.columns else F.array().cast("array<string>")

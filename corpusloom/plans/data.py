@@ -405,4 +405,14 @@ f as (select x.doc_id, x.i, coalesce(s.t, x.t) as t from x left join p on p.doc_
     "A28_v_measure": "with x as (select label as l, (vec_id * 7 + label) % 6 as c from embeddings), n as (select count(*)::double as n from x), hl as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l), n), hc as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by c), n), hb as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l, c), n), r as (select 1 - (hb.h - hc.h) / hl.h as hom, 1 - (hb.h - hl.h) / hc.h as com from hl, hc, hb) select round(hom, 6) as homogeneity, round(com, 6) as completeness, round(2 * hom * com / (hom + com), 6) as v_measure from r",
     "A29_knn_cosine": knn_sql(COS),
     "A29_knn_euclidean": knn_sql("-sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"),
+    "G5_G6_G7_pair_builder": f"""with w as (select doc_id, text, {words_sql('text')} as w from documents),
+c as (select doc_id, text, w, case when len(w) <= 256 then w else {crop_sql('w', 1, 'doc_id', 'greatest(256, 1)', 'least(256, 256)')} end as x from w where len(w) > 0),
+t as (select doc_id, x, array_to_string(string_split(list_filter(list_transform(string_split(text, chr(10)), lambda y: array_to_string({words_sql('y')}, ' ')), lambda z: len(string_split(z, ' ')) > 3)[1], ' ')[1:64], ' ') as ti,
+regexp_replace(split_part((w[1:5])[1 + cast(floor({u(4, 'doc_id')} * least(5, len(w))) as bigint)], '|', 1), '^[\[\]]+|[\[\]]+$', '', 'g') as ph,
+{crop_sql('x', 5, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')} as cq, {crop_sql('x', 8, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')} as dc from c),
+p as (select *, (coalesce(length(ti), 0) > 0)::int as a, {u(7, 'doc_id')} * ((coalesce(length(ti), 0) > 0)::int + 2.0) as pt from t)
+select doc_id as id, md5(array_to_string(x, ' ')) as context, case when pt < a then 'title' when pt < a + 1 then 'phrase' else 'crop' end as query_type,
+case when pt < a then ti when pt < a + 1 then ph else array_to_string(cq, ' ') end as query,
+md5(coalesce(array_to_string(list_transform(list_filter(range(1, len(dc) + 1), lambda i: {u(9, 'doc_id', 'i - 1')} >= 0.1), lambda i: dc[i]), ' '), '')) as doc from p""",
+    "P9_task_filter": "select * from (values ('STS17', 'STS', 'cosine_spearman'), ('STS22', 'STS', 'cosine_spearman')) t(name, type, main_score)",
 }

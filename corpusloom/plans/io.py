@@ -14,7 +14,7 @@ from corpusloom.streaming import corpus as ST
 
 from .data import JUDGED, judged
 from .dense import KS, OUT, TREC, run_of, sql_run
-from .texts import HITS, _num, bench, docs, qa_hits, questions, t, words_sql
+from .texts import HITS, POST, _num, bench, docs, qa_hits, questions, t, words_sql
 
 
 def here(s, tag):
@@ -256,6 +256,7 @@ SQL = {
     "K3_wide_scores": f"with {sql_run()}, {TREC}, o as ({OUT} trec) select metric, " + ", ".join(f"max(value) filter (where k = {k}) as \"@{k}\"" for k in KS) + " from o group by metric",
     "K5_generated_queries": "select 'genQ' || doc_id as qid, doc_id::varchar as doc_id, md5(array_to_string(string_split(text, ' ')[1:3], ' ')) as text, 1::bigint as rel from documents where doc_id < 50",
     "K7_by_subset": "select doc_id, 'set ' || source as source, 'set_' || source as subset from documents",
+    "K8_bm25_statistics": f"with {POST} select count(*) as n_terms, any_value(n) as n_docs, cast(sum(df) as bigint) as total_df from df, st",
     "K9_vector_index": "select vec_id, label::bigint as label from embeddings",
     "K11_model_card": f"with {sql_run()}, {TREC} select 'emb' as task, '- type: ' || lower(metric) || chr(10) || '  value: ' || round(round(value, 4) * 100, 4)::varchar as line from trec where k = 10",
     "K13_task_result": "select count(*) as n from labels",

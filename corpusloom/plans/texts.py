@@ -347,5 +347,8 @@ select qid, (select count(*) from g a join g b on a.qid = b.qid and a.i < b.i an
     "P2_titled": "with x as (select doc_id, text, case when doc_id % 2 = 0 then split_part(text, chr(10), 1) else '' end as ti from documents) select doc_id, " + ", ".join(f"md5(trim(case when length(ti) > 0 then ti || '{s}' || text else text end, ' ')) as {n}" for n, s in (("blank", " "), ("marked", " TEXT: "), ("sep", "[SEP]"))) + " from x",
     "P3_prefixed": doc_sql(text="md5('query: ' || text)"),
     "P5_source": "select page_id, case when page_id % 5 = 0 or contains(url, 'wikipedia') then 'Wikipedia' when page_id % 3 = 0 then 'Wikipedia' when page_id % 3 = 1 then 'Pile-CC' end as source from pages",
+    "F1_unicode_normalize": doc_sql(clean="""md5('"a-b" ... x''''  ' || text)"""),
+    "F11_title_v2": f"with x as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string({words_sql('x')}, ' ')), lambda x: x <> '')[1] as p, {words_sql('text')} as w from documents), t as (select doc_id, w, coalesce(array_to_string(string_split(p, ' ')[1:64], ' '), '') as t from x) select doc_id, case when length(t) >= 16 then t else array_to_string(w[1:least(64, greatest(1, len(w) // 2))], ' ') end as title from t",
+    "F12_sections": doc_sql(n="cast(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) as bigint)", first="'Head'"),
     "F13_markup": "select doc_id, split_part(text, ' ', 1) || ' and y zs ' || split_part(text, chr(10), 1) as text, split_part(text, ' ', 1) as fonts, 'y z' as anchors from documents",
 }
