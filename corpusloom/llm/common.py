@@ -63,6 +63,19 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str | None =
     return run
 
 
+_KEPT: dict = {}
+
+
+def kept(key: str, make: Callable):
+    """What a kernel has learned in this worker, from task to task. A worker keeps that of one kernel at a time, so
+    the memory of a worker that serves several stages is that of the largest."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None where null."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

@@ -37,7 +37,7 @@ GROUP_ROWS = 20_000
 #: Merging stops when a round saves less than one bin in this many.
 SETTLED = 200
 #: Words whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 350_000
 
 PIECE = pa.struct(
     [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("text_no", pa.int64())]
@@ -121,16 +121,6 @@ class WordIds:
         return out
 
 
-#: A worker keeps what it has learned from task to task.
-_LEARNED: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _LEARNED:
-        _LEARNED[path] = WordIds(path)
-    return _LEARNED[path]
-
-
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins (lists of indices) of a best-fit packing, longest first; ties keep the input's order.
     Room left is one of capacity + 1 values, so open bins are kept in a list per value."""
@@ -177,7 +167,7 @@ def _task() -> int:
 
 def _first_round(path: str, capacity: int, end_id: int, nearly: int):
     def run(batches):
-        words, tail, task, seen, base = word_ids(path), end_id.to_bytes(4, "little"), _task(), 0, 0
+        words, tail, task, seen, base = common.kept(f"ids {path}", lambda: WordIds(path)), end_id.to_bytes(4, "little"), _task(), 0, 0
         items, fills = [], []
         for part in common.slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
