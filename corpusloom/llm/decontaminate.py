@@ -221,8 +221,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _kernel(phrases, names: list[str]):
-    """Adds this block's hits to those of earlier passes; phrases is a broadcast. The columns of names pass through."""
+def _kernel(phrases, names: list[str], cut: bool = False):
+    """Adds this block's hits to those of earlier passes; phrases is a broadcast. The columns of names pass through;
+    with cut, alone, and text without the hits."""
 
     def run(batches):
         block: Phrases = phrases.value
@@ -241,6 +242,12 @@ def _kernel(phrases, names: list[str]):
                     new_items = [b.union(a) for a, b in zip(old[1], new_items, strict=True)]
                 ranges = pa.array([[{"start": b, "stop": e} for b, e in r] for r in new_spans], _RANGES)
                 found = pa.array([sorted(x) for x in new_items], pa.list_(pa.string()))
+                if cut:
+                    text = part.column("text")
+                    new = [without(t, r) if r else t for t, r in zip(text.to_pylist(), new_spans, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(new, text.type) if c == "text" else part.column(c) for c in names], names)
+                    at += n
+                    continue
                 cols = {"n_words": pa.array(counts[at : at + n], pa.int64()), "ranges": ranges, "items": found}
                 yield pa.RecordBatch.from_arrays([cols[c] if c in cols else part.column(c) for c in (*names, *cols)], [*names, *cols])
                 at += n
@@ -280,43 +287,35 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield [(r["item"], None if r["text"] is None else bytes(r["text"])) for r in rows.collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of keep, n_words, ranges (merged hit word ranges) and items (ids whose windows occur) for every row of docs."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """The columns of keep, n_words, ranges (merged hit word ranges) and items (ids whose windows occur) for every row of docs;
+    with cut, the columns of keep alone, and text without the hits."""
     context = docs.sparkSession.sparkContext
     todo = [context.broadcast(Phrases(b, window)) for b in blocks(benchmark, block_bytes)]
     docs = docs.select(*dict.fromkeys((*keep, "text")))
     for i, phrases in enumerate(todo):
-        names = list(keep) if i == len(todo) - 1 else list(dict.fromkeys((*keep, "text")))
+        last = i == len(todo) - 1
+        names = list(keep) if last else list(dict.fromkeys((*keep, "text")))
         fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-        docs = docs.mapInArrow(_kernel(phrases, names), f"{fields}, {RESULT_DDL}")
+        docs = docs.mapInArrow(_kernel(phrases, names, cut and last), fields if cut and last else f"{fields}, {RESULT_DDL}")
     return docs
 
 
-def without(text: str | None, ranges: list[dict]) -> str | None:
+def without(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
     """The text without the words of the ranges and what stands between them."""
     if not ranges or not text:
         return text
     places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
-    for r in ranges:
-        out.append(text[at : places[r["start"]][0]])
-        at = places[r["stop"] - 1][1]
+    for start, stop in ranges:
+        out.append(text[at : places[start][0]])
+        at = places[stop - 1][1]
     return "".join(out) + text[at:]
 
 
-def _cut_kernel(names: list[str]):
-    def run(batches):
-        for part in common.slices(batches, "text"):
-            new = [without(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, part.schema.field("text").type) if n == "text" else part.column(n) for n in names], names)
-
-    return run
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the hit spans cut out of text; all rows and columns stay."""
-    found = contamination(docs, benchmark, window, tuple(docs.columns))
-    return found.mapInArrow(_cut_kernel(docs.columns), docs.schema)
+    return contamination(docs, benchmark, window, tuple(docs.columns), cut=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ every text is "und"; every row gives a row; ties go to the smaller label.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ START = 0.15
 #: Most frequent words of a language that form its lexicon.
 LEXICON = 4_000
 #: Words whose emissions a worker remembers.
-MEMO = 400_000
+MEMO = 250_000
 WORDS = re.compile(r"[^\W\d_]+").findall
 SCHEMA = "lang_pred string, score double"
 
@@ -59,6 +61,21 @@ def features(word: str, lexicon: frozenset | set) -> list[int]:
     return [zlib.crc32(f.encode()) % DIMS for f in out]
 
 
+def feature_table(words, lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words in one array, and how many each has."""
+    flat, sizes = array("i"), array("i")
+    for w in words:
+        found = features(w, lexicon)
+        flat.extend(found)
+        sizes.append(len(found))
+    return np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+
+
+def summed(weights: np.ndarray, flat: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Per word and label the sum of its features' weights; one label at a time bounds memory."""
+    return np.stack([np.add.reduceat(np.ascontiguousarray(weights[:, j])[flat], heads) for j in range(weights.shape[1])], axis=1)
+
+
 def forward_backward(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray, live: np.ndarray):
     """Posteriors of chains of equal length. emit: (steps, chains, labels) positive weights;
     live: (steps, chains), False behind a chain's end. Also the log of the partition sums."""
@@ -102,10 +119,10 @@ class CRF:
 
     def emission(self, words: list[str]) -> np.ndarray:
         """Log weights (words, labels)."""
-        feats = [features(w, self.lexicon) for w in words]
-        flat = np.fromiter((f for fs in feats for f in fs), np.int64)
-        ends = np.cumsum([len(f) for f in feats])
-        return np.add.reduceat(self.weights[flat], ends - [len(f) for f in feats], axis=0) if feats else np.zeros((0, len(self.labels)))
+        if not words:
+            return np.zeros((0, len(self.labels)))
+        flat, sizes = feature_table(words, self.lexicon)
+        return summed(self.weights, flat, np.cumsum(sizes) - sizes)
 
     @classmethod
     def train(cls, texts: list[tuple[str, str]], sample_words: int = SAMPLE_WORDS, epochs: int = EPOCHS) -> CRF | None:
@@ -136,11 +153,9 @@ class CRF:
             for w in part:
                 tokens.append(words.setdefault(w, len(words)))
                 gold.append(lang)
-        feats = [features(w, lexicon) for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.fromiter((f for fs in feats for f in fs), np.int64)
+        flat, sizes = feature_table(words, lexicon)
         heads = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(feats)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         ids, live = chains_of(np.array(tokens))
         want, _ = chains_of(np.array(gold))
         n, m = len(tokens), len(labels)
@@ -151,17 +166,17 @@ class CRF:
         gold_pairs = np.einsum("tci,tcj->ij", one[:-1] * pairs[:, :, None], one[1:])
         weights, trans, begin = np.zeros((DIMS, m)), np.zeros((m, m)), np.zeros(m)
         # start from the log odds of features
-        per = np.stack([np.bincount(owner_of, minlength=len(feats)) for owner_of in (np.array(tokens)[np.array(gold) == j] for j in range(m))], axis=1)
+        per = np.stack([np.bincount(owner_of, minlength=len(words)) for owner_of in (np.array(tokens)[np.array(gold) == j] for j in range(m))], axis=1)
         seen = np.stack([np.bincount(flat, weights=per[owner, j], minlength=DIMS) for j in range(m)], axis=1)
         odds = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5))
         weights += START * np.where(seen.sum(axis=1, keepdims=True) > 0, odds - odds.mean(axis=1, keepdims=True), 0)
         memory = [np.full_like(x, 1e-8) for x in (weights, trans, begin)]
         for _ in range(epochs):
-            emission = np.add.reduceat(weights[flat], heads, axis=0)
+            emission = summed(weights, flat, heads)
             emit = np.exp(emission - emission.max(axis=1, keepdims=True))[np.maximum(ids, 0)]
             t, b = np.exp(trans), np.exp(begin)
             post, alpha, beta, _ = forward_backward(emit, t, b, live)
-            by_word = np.zeros((len(feats), m))
+            by_word = np.zeros((len(words), m))
             np.add.at(by_word, ids[live], (one - post)[live])
             grad_w = np.stack([np.bincount(flat, weights=by_word[owner, j], minlength=DIMS) for j in range(m)], axis=1)
             both = alpha[:-1][:, :, :, None] * t * (emit[1:] * beta[1:])[:, :, None, :]
@@ -205,10 +220,10 @@ class Predictor:
         if doc:
             all_ids, all_live = np.concatenate(ids, axis=1), np.concatenate(live, axis=1)
             mass = np.zeros((len(texts), len(model.labels)))
-            for at in range(0, len(doc), 4096):  # bounds memory for long texts
-                i, ok = all_ids[:, at : at + 4096], all_live[:, at : at + 4096]
+            for at in range(0, len(doc), 1024):  # bounds memory for long texts
+                i, ok = all_ids[:, at : at + 1024], all_live[:, at : at + 1024]
                 post = forward_backward(self.table[np.maximum(i, 0)], model.trans, model.begin, ok)[0]
-                np.add.at(mass, doc[at : at + 4096], (post * ok[:, :, None]).sum(axis=0))
+                np.add.at(mass, doc[at : at + 1024], (post * ok[:, :, None]).sum(axis=0))
             for k, ws in enumerate(found):
                 if ws:
                     best = int(np.argmax(mass[k]))
@@ -224,9 +239,9 @@ class Predictor:
         self.table[start:need] = rows
 
 
-def _kernel(model, names: list[str]):
+def _kernel(model, names: list[str], key: str):
     def run(batches):
-        predictor = Predictor(model.value) if model is not None else None
+        predictor = common.kept(f"language model {key}", lambda: Predictor(model.value)) if model is not None else None
         for part in common.slices(batches, "text"):
             texts = part.column("text").to_pylist()
             langs, scores = predictor.predict(texts) if predictor else ([UNKNOWN] * len(texts), [0.0] * len(texts))
@@ -260,7 +275,7 @@ def identify(docs: DataFrame, model: CRF | None, keep: list[str] | None = None)
     names = keep or docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(_kernel(sent, names), f"{fields}, {SCHEMA}")
+    return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(_kernel(sent, names, uuid.uuid4().hex), f"{fields}, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ BATCH, MISS = 25, 1e-6
 TILE = 512
 #: Bits of the filter that tells which documents' sets are needed; larger inputs make it less sharp, not larger.
 FILTER_BITS = 1 << 27
-MEMO = 400_000
+MEMO = 250_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(20)
@@ -65,10 +65,6 @@ class WordHash(dict):
         return h
 
 
-#: A worker keeps its word hashes from task to task.
-_WORDS = WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -103,7 +99,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _sign_kernel(width: int):
     def run(batches):
-        words = _WORDS
+        words = common.kept("word hashes", WordHash)
         for part in common.slices(batches, "text"):
             sizes, keys, signs = [], [], []
             for text in common.raw_texts(part.column("text")):
@@ -118,7 +114,7 @@ def _sign_kernel(width: int):
 
 def _set_kernel(width: int, bits, mask: int):
     def run(batches):
-        words, found = _WORDS, bits.value
+        words, found = common.kept("word hashes", WordHash), bits.value
         for part in common.slices(batches, "text"):
             at = part.column("h").to_numpy(zero_copy_only=False).astype(np.int64) & mask
             wanted = np.flatnonzero((found[at >> 3] >> (at & 7)) & 1)
