@@ -408,7 +408,7 @@ f as (select x.doc_id, x.i, coalesce(s.t, x.t) as t from x left join p on p.doc_
     "G5_G6_G7_pair_builder": f"""with w as (select doc_id, text, {words_sql('text')} as w from documents),
 c as (select doc_id, text, w, case when len(w) <= 256 then w else {crop_sql('w', 1, 'doc_id', 'greatest(256, 1)', 'least(256, 256)')} end as x from w where len(w) > 0),
 t as (select doc_id, x, array_to_string(string_split(list_filter(list_transform(string_split(text, chr(10)), lambda y: array_to_string({words_sql('y')}, ' ')), lambda z: len(string_split(z, ' ')) > 3)[1], ' ')[1:64], ' ') as ti,
-regexp_replace(split_part((w[1:5])[1 + cast(floor({u(4, 'doc_id')} * least(5, len(w))) as bigint)], '|', 1), '^[\[\]]+|[\[\]]+$', '', 'g') as ph,
+regexp_replace(split_part((w[1:5])[1 + cast(floor({u(4, 'doc_id')} * least(5, len(w))) as bigint)], '|', 1), '^[\\[\\]]+|[\\[\\]]+$', '', 'g') as ph,
 {crop_sql('x', 5, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')} as cq, {crop_sql('x', 8, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')} as dc from c),
 p as (select *, (coalesce(length(ti), 0) > 0)::int as a, {u(7, 'doc_id')} * ((coalesce(length(ti), 0) > 0)::int + 2.0) as pt from t)
 select doc_id as id, md5(array_to_string(x, ' ')) as context, case when pt < a then 'title' when pt < a + 1 then 'phrase' else 'crop' end as query_type,
