@@ -29,8 +29,8 @@ from . import common
 NAME = "op2_token_counts"
 LIMIT = 4096
 SPACE = "▁"
-#: Chunks whose counts a worker remembers; beyond that it starts anew.
-MEMO = 600_000
+#: Chunks whose counts a worker remembers.
+MEMO = 500_000
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
@@ -90,31 +90,19 @@ class PieceCounter:
         if not text:
             return 0
         memo, total = self.memo, 0
-        if len(memo) > MEMO:
-            memo.clear()
         for c in self.chunks(" " + text.replace(SPACE, " ")):
             n = memo.get(c)
             if n is None:
                 n = self.merged(c)
-                if len(c) <= 64:
+                if len(memo) < MEMO and len(c) <= 64:  # frequent chunks come early
                     memo[c] = n
             total += n
         return total
 
 
-#: A worker keeps what it has counted from task to task.
-_LEARNED: dict[str, PieceCounter] = {}
-
-
-def piece_counter(model_file: str) -> PieceCounter:
-    if model_file not in _LEARNED:
-        _LEARNED[model_file] = PieceCounter(model_file)
-    return _LEARNED[model_file]
-
-
 def _kernel(model_file: str, limit: int):
     def run(batches):
-        counter = piece_counter(model_file)
+        counter = common.kept(f"pieces {model_file}", lambda: PieceCounter(model_file))
         for part in common.slices(batches, "text"):
             texts = part.column("text").to_pylist()
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
