@@ -49,19 +49,35 @@ def _scores(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
     return np.where(np.isnan(s), -1.0, s)
 
 
+def _probed_scores(x: np.ndarray, cells: np.ndarray, q: np.ndarray, kind: str, probed: np.ndarray) -> np.ndarray:
+    """Scores of the cells that a query probes; all others are minus infinity and are not computed."""
+    s = np.full((len(x), len(q)), -np.inf)
+    for c in np.unique(cells):
+        rows, cols = np.flatnonzero(cells == c), np.flatnonzero(probed[:, c])
+        if len(cols):
+            s[np.ix_(rows, cols)] = _scores(x[rows], q[cols], kind)
+    return s
+
+
 def _kernel(block, k: int, kind: str, exclude_self: bool, threshold: float | None):
     def run(batches):
-        ids, q = block.value
+        ids, q, probed = block.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             x = np.array(batch.column("e").to_pylist(), np.float64)
-            s = np.round(_scores(x, q, kind), SCALE)
+            if probed is None:
+                s = _scores(x, q, kind)
+            else:
+                s = _probed_scores(x, batch.column("cell").to_numpy(zero_copy_only=False), q, kind, probed)
+            s = np.round(s, SCALE)
             out_q, out_d, out_s = [], [], []
             for j in range(len(ids)):
                 col = s[:, j]
-                live = np.ones(len(docs), bool) if not exclude_self else docs != ids[j]
+                live = col > -np.inf if probed is not None else np.ones(len(docs), bool)
+                if exclude_self:
+                    live &= docs != ids[j]
                 if threshold is not None:
                     live &= col >= threshold
                 at = np.flatnonzero(live)
@@ -82,12 +98,17 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int, score: str = "co
     A threshold is applied before the cut to k; the result is the same after it (P7)."""
     if score not in V.SCORES:
         raise ValueError(f"no such score: {score}; one of {sorted(V.SCORES)}")
-    spark = corpus.sparkSession
-    ship(spark)
     rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), V.doubles("embedding").alias("e"))
+    return _search(queries, rows, k, score, exclude_self, threshold)
+
+
+def _search(queries: DataFrame, rows: DataFrame, k: int, score: str, exclude_self: bool, threshold: float | None = None, probe=None) -> DataFrame:
+    """The search over rows(doc_id, e), or, with probe(query vectors) -> (queries, cells) of bool, over rows(doc_id, e, cell)."""
+    spark = rows.sparkSession
+    ship(spark)
     out = None
-    for block in _query_blocks(queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")):
-        sent = spark.sparkContext.broadcast(block)
+    for ids, vectors in _query_blocks(queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")):
+        sent = spark.sparkContext.broadcast((ids, vectors, None if probe is None else probe(vectors)))
         part = rows.mapInArrow(_kernel(sent, k, score, exclude_self, threshold), "qid bigint, doc_id bigint, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -121,56 +142,87 @@ def half_precision(vectors: DataFrame, digits: int = 3) -> DataFrame:
     return vectors.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: F.round(x, digits)))
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:
-    """Inverted file (V11): k-means cells, each query searches its nearest cells through an equi-join."""
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, share: float = 0.75, seed: int = 7) -> DataFrame:
+    """Inverted file (V11): k-means cells, about the root of the corpus size and 16 at least where
+    none are given; each query searches the share of the cells whose centres are nearest."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = corpus.select("doc_id", V.doubles("embedding").alias("e")).withColumn("features", array_to_vector("e"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(data)
+    data = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), V.doubles("embedding").alias("e")).withColumn("features", array_to_vector("e"))
+    model = KMeans(k=cells or max(16, round(data.count() ** 0.5)), seed=seed, maxIter=10).fit(data)
+    centres = np.array(model.clusterCenters())
+    probes = int(np.ceil(share * len(centres)))
+
+    def probe(q):
+        far = (centres * centres).sum(1)[None, :] - 2 * q @ centres.T
+        near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+        out = np.zeros(far.shape, bool)
+        np.put_along_axis(out, near, True, axis=1)
+        return out
+
     placed = model.transform(data).select("doc_id", "e", F.col("prediction").alias("cell"))
-    spark = corpus.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    q = queries.select("qid", V.doubles("embedding").alias("q"))
-    near = q.join(F.broadcast(centres)).withColumn("d", V.euclidean(F.col("q"), F.col("centre")))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "cell"))).where(F.col("r") <= probes).select("qid", "q", "cell")
-    pairs = near.join(placed, "cell").where("qid <> doc_id")
-    return ranked(pairs.select("qid", "doc_id", F.round(V.dot(F.col("q"), F.col("e")), SCALE).alias("score")), k)
+    return _search(queries, placed, k, "dot", True, probe=probe)
+
+
+def _refined(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, wide: int) -> DataFrame:
+    """The first `wide` of an approximate run ranked by their exact inner products, and of those the first k."""
+    return rerank_own(run, queries, corpus, wide, V.dot).where(F.col("rank") <= k)
+
+
+def _code_kernel(sent):
+    def run(batches):
+        books = sent.value
+        for batch in batches:
+            x = np.array(batch.column("e").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            codes, at = [], 0
+            for book in books:
+                part = x[:, at : at + book.shape[1]]
+                codes.append(np.argmin((book * book).sum(1)[None, :] - 2 * part @ book.T, axis=1))
+                at += book.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.stack(codes, axis=1).tolist(), pa.list_(pa.int32()))], ["doc_id", "codes"])
+
+    return run
+
+
+def _decode_kernel(sent):
+    def run(batches):
+        books = sent.value
+        for batch in batches:
+            codes = np.array(batch.column("codes").to_pylist(), np.int64).reshape(batch.num_rows, len(books))
+            x = np.concatenate([book[codes[:, p]] for p, book in enumerate(books)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "e"])
+
+    return run
 
 
-def pq_search(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 8, codes: int = 32, seed: int = 7) -> DataFrame:
-    """Product quantization (V6): a codebook per subspace, documents stored as codes, queries scored by table lookup."""
+def pq_search(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 16, codes: int = 128, wide: int = 200, seed: int = 7) -> DataFrame:
+    """Product quantization (V6): a codebook per subspace, documents stored as codes. A query's inner product
+    with the decoded document is the sum of its table look-ups; the first `wide` are ranked again exactly."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = corpus.select("doc_id", V.doubles("embedding").alias("e"))
+    spark = corpus.sparkSession
+    ship(spark)
+    data = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), V.doubles("embedding").alias("e"))
     dims = data.select(F.size("e").alias("d")).first()["d"]
-    width = dims // parts
     books = []
-    coded = data
-    for p in range(parts):
-        at = F.slice("e", p * width + 1, width)
-        model = KMeans(k=codes, seed=seed, maxIter=8).fit(data.select(array_to_vector(at).alias("features")))
-        books.append([[float(x) for x in c] for c in model.clusterCenters()])
-        coded = model.transform(coded.withColumn("features", array_to_vector(at))).withColumnRenamed("prediction", f"c{p}").drop("features")
-    table = F.array(*(F.array(*(F.array(*(F.lit(x) for x in c)) for c in book)) for book in books))
-    q = queries.select("qid", V.doubles("embedding").alias("q"))
-    lookups = F.transform(table, lambda book, p: F.transform(book, lambda c: V.dot(F.slice(F.col("q"), p * width + 1, F.lit(width)), c)))
-    q = q.withColumn("t", lookups).drop("q")
-    coded = coded.select("doc_id", *(f"c{p}" for p in range(parts)))
-    pairs = q.join(F.broadcast(q.sparkSession.range(1)).drop("id")).join(coded, F.col("qid") != F.col("doc_id"))
-    score = sum((F.get(F.get("t", F.lit(p)), F.col(f"c{p}")) for p in range(parts)), F.lit(0.0))
-    return ranked(pairs.select("qid", "doc_id", F.round(score, SCALE).alias("score")), k)
-
-
-def pca_search(queries: DataFrame, corpus: DataFrame, k: int, dims: int = 32) -> DataFrame:
-    """PCA before exact search (V9)."""
+    for at in np.array_split(np.arange(dims), min(parts, dims)):
+        part = data.select(array_to_vector(F.slice("e", int(at[0]) + 1, len(at))).alias("features"))
+        books.append(np.array(KMeans(k=codes, seed=seed, maxIter=8).fit(part).clusterCenters()))
+    sent = spark.sparkContext.broadcast(books)
+    coded = data.mapInArrow(_code_kernel(sent), "doc_id bigint, codes array<int>")
+    run = _search(queries, coded.mapInArrow(_decode_kernel(sent), "doc_id bigint, e array<double>"), max(k, wide), "dot", True)
+    return _refined(run, queries, corpus, k, max(k, wide))
+
+
+def pca_search(queries: DataFrame, corpus: DataFrame, k: int, dims: int = 32, wide: int = 200) -> DataFrame:
+    """PCA before exact search (V9); the first `wide` are ranked again by the whole vectors."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     model = PCA(k=dims, inputCol="x", outputCol="y").fit(corpus.select(array_to_vector(V.doubles("embedding")).alias("x")))
     turn = lambda df: model.transform(df.withColumn("x", array_to_vector(V.doubles("embedding")))).withColumn("embedding", vector_to_array("y")).drop("x", "y")
-    return exact_search(turn(queries), turn(corpus), k, "dot", exclude_self=True)
+    return _refined(exact_search(turn(queries), turn(corpus), max(k, wide), "dot", exclude_self=True), queries, corpus, k, max(k, wide))
 
 
 def rerank_pool(queries: DataFrame, corpus: DataFrame, run: DataFrame, top: int, k: int, score: str = "cos_sim") -> DataFrame:
