@@ -102,8 +102,13 @@ def v_measure(rows: DataFrame) -> DataFrame:
 
 
 def caption_ranks(run: DataFrame, own: DataFrame, ks=(1, 5, 10)) -> DataFrame:
-    """R@k (in percent) and median rank of the best own caption (A34). own(qid, doc_id)."""
-    best = run.join(own, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("r"))
+    """R@k (in percent) and median rank of the best own caption (A34). own(qid, doc_id). Queries whose
+    captions the run does not reach don't count; rank_summary of search.own_ranks counts them all."""
+    return rank_summary(run.join(own, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("r")), ks)
+
+
+def rank_summary(best: DataFrame, ks=(1, 5, 10)) -> DataFrame:
+    """R@k (in percent) and median of best(qid, r), over all its queries."""
     median = (F.floor(F.percentile(F.col("r") - 1, F.lit(0.5))) + 1).cast("bigint")
     return best.agg(*(F.avg(F.when(F.col("r") <= k, 100.0).otherwise(0.0)).alias(f"r{k}") for k in ks), median.alias("median_rank"))
 

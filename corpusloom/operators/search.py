@@ -116,6 +116,43 @@ def _search(queries: DataFrame, rows: DataFrame, k: int, score: str, exclude_sel
     return ranked(out, k)
 
 
+def _count_kernel(sent):
+    def run(batches):
+        ids, q, best, best_id = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            s = np.round(_scores(np.array(batch.column("e").to_pylist(), np.float64), q, "cos_sim"), SCALE)
+            other = docs[:, None] != best_id[None, :]
+            n = (other & ((s > best) | ((s == best) & (docs[:, None] < best_id)))).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["qid", "n"])
+
+    return run
+
+
+def own_ranks(queries: DataFrame, corpus: DataFrame, own: DataFrame) -> DataFrame:
+    """(qid, r) for every query: the rank by cosine of its best own(qid, doc_id) document in the whole corpus,
+    the number of documents and one where it has none there. Better documents are counted in blocks, none is cut off."""
+    spark = corpus.sparkSession
+    ship(spark)
+    queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")
+    rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), V.doubles("embedding").alias("e"))
+    pairs = queries.select("qid", V.doubles("embedding").alias("q")).join(own, "qid").join(rows, "doc_id")
+    best = pairs.select("qid", "doc_id", F.round(V.SCORES["cos_sim"](F.col("q"), F.col("e")), SCALE).alias("s"))
+    best = best.groupBy("qid").agg(F.max_by("doc_id", F.struct("s", -F.col("doc_id"))).alias("doc_id"), F.max("s").alias("s"))
+    found = None
+    for ids, vectors in _query_blocks(queries.join(best, "qid", "left_semi")):
+        known = {r["qid"]: r for r in best.join(spark.createDataFrame([(int(i),) for i in ids], "qid bigint"), "qid").collect()}
+        sent = spark.sparkContext.broadcast((ids, vectors, np.array([known[i]["s"] for i in ids]), np.array([known[i]["doc_id"] for i in ids])))
+        part = rows.mapInArrow(_count_kernel(sent), "qid bigint, n bigint")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "qid bigint, n bigint")
+    ranks = found.groupBy("qid").agg((F.sum("n") + 1).alias("r"))
+    return queries.select("qid").join(ranks, "qid", "left").select("qid", F.coalesce("r", F.lit(rows.count() + 1)).alias("r"))
+
+
 def score_pairs(pairs: DataFrame, a: str, b: str, score: str = "cos_sim") -> Column:
     return V.SCORES[score](V.doubles(a), V.doubles(b))
 
