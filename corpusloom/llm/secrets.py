@@ -18,9 +18,9 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -36,8 +36,12 @@ SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 400
 LEAST = 20
 #: Significance of the test for compatible states.
 ALPHA = 0.1
-#: Shortest candidate token.
-SHORTEST = 16
+#: Shortest candidate token, as long as the shortest labelled credential.
+SHORTEST = 6
+#: Tokens whose kind a worker remembers.
+MEMO = 100_000
+#: Share of the ordinary tokens below the threshold; credentials among the others do not move it.
+ORDINARY = 0.99
 
 # The base patterns of the contract, group 2 of 6+, 20+ and 24+ characters.
 _WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -47,9 +51,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
-#: Tokens that may be credentials: long, with a digit.
+#: Tokens that may be credentials.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
-DIGIT = re.compile("[0-9]").search
 VALUE = re.compile(r"""[=:"']*([A-Za-z0-9+/_.-].*?)=*$""").match
 
 SPANS_DDL = "array<struct<kind:string,start:bigint,stop:bigint>>"
@@ -174,24 +177,35 @@ class Model:
     def __init__(self, positives: dict[str, list[str]], negatives: list[str]):
         self.kinds = {k: Automaton(words) for k, words in positives.items() if len(words) >= LEAST}
         self.ordinary = Automaton(negatives or ["a"])
+        self.memo: dict[str, str | None] = {}
         own = sorted(self.best(w)[0] for k in self.kinds for w in positives[k])
-        other = sorted(self.best(w)[0] for w in negatives if len(w) >= SHORTEST and DIGIT(w)) if self.kinds else []
-        self.threshold = max([0.0, *own[len(own) // 50 : len(own) // 50 + 1], *(x + 1e-9 for x in other[-1 - len(other) // 1000 :][:1])])
+        other = sorted(self.best(w)[0] for w in negatives) if self.kinds else []
+        self.threshold = max([0.0, *own[len(own) // 50 : len(own) // 50 + 1], *(x + 1e-9 for x in other[max(0, int(ORDINARY * len(other)) - 1) :][:1])])
 
     def best(self, word: str) -> tuple[float, str]:
         base = self.ordinary.score(word)
         return max(((a.score(word) - base, k) for k, a in self.kinds.items()), default=(-math.inf, ""))
 
     def kind(self, word: str) -> str | None:
-        score, kind = self.best(word)
-        return kind if score >= self.threshold else None
+        if word not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            score, kind = self.best(word)
+            self.memo[word] = kind if score >= self.threshold else None
+        return self.memo[word]
 
 
 def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidate tokens (value, start, stop) that overlap none of the taken spans."""
     out = []
+    spans = sorted((s, e) for _, s, e in taken)
+    at, reach = 0, 0
     for m in TOKEN.finditer(text):
-        if DIGIT(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in taken):
+        # tokens come in order: reach is the furthest end of the spans that begin before this token's end
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= m.start():
             v = VALUE(m[0])
             if v and len(v[1]) >= SHORTEST:
                 out.append((v[1], m.start() + v.start(1), m.start() + v.end(1)))
@@ -208,17 +222,33 @@ def all_spans(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], rank[x[0]]))
 
 
-def _sample_kernel(batches):
-    """Labelled credentials and ordinary tokens, each once per batch and kind."""
-    for part in common.slices(batches, "text"):
-        seen = set()
-        for text in part.column("text").to_pylist():
-            if text:
-                found = base_spans(text)
-                seen |= {(k, credential(k, text[s:e])[:256]) for k, s, e in found}
-                seen |= {("ordinary", v[:256]) for v, _, _ in tokens(text, found)}
-                seen |= {("ordinary", w) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,64}", text)[:20]}
-        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in sorted(seen)], "word": [w for _, w in sorted(seen)]}, schema=pa.schema([("kind", pa.string()), ("word", pa.string())]))
+def _sample_kernel(many: int):
+    """Labelled credentials and ordinary tokens of a task: per kind the `many` distinct ones smallest by hash."""
+
+    def run(batches):
+        kept: dict[str, set] = {k: set() for k in (*KINDS, "ordinary")}
+        limit = dict.fromkeys(kept, 1 << 32)
+
+        def add(kind: str, word: str) -> None:
+            h = zlib.crc32(word.encode("utf-8", "replace"))
+            if h <= limit[kind]:
+                kept[kind].add((h, word))
+                if len(kept[kind]) >= 4 * many:
+                    kept[kind] = set(sorted(kept[kind])[:many])
+                    limit[kind] = max(kept[kind])[0]
+
+        for part in common.slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                if text:
+                    found = base_spans(text)
+                    for k, s, e in found:
+                        add(k, credential(k, text[s:e])[:256])
+                    for v, _, _ in tokens(text, found):
+                        add("ordinary", v[:256])
+        rows = [(k, w, h) for k in kept for h, w in sorted(kept[k])[:many]]
+        yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(("kind", "word", "h"))}, schema=pa.schema([("kind", pa.string()), ("word", pa.string()), ("h", pa.int64())]))
+
+    return run
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> Model:
@@ -227,7 +257,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int =
     total = docs.count()
     share = min(1.0, sample_docs / max(1, total))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
-    found = picked.select("text").mapInArrow(_sample_kernel, "kind string, word string").groupBy("kind", "word").agg(F.min(F.xxhash64("kind", "word")).alias("h"))
+    found = picked.select("text").mapInArrow(_sample_kernel(sample_tokens), "kind string, word string, h bigint").distinct()
     kept = {}
     for kind in (*KINDS, "ordinary"):
         rows = found.where(F.col("kind") == kind).orderBy("h", "word").limit(sample_tokens)

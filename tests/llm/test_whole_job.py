@@ -1,11 +1,12 @@
 """Operators on what their first form cut off."""
 
+import random
 import re
 import textwrap
 
 import pytest
 
-from corpusloom.llm import license_scan
+from corpusloom.llm import license_scan, secrets
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -43,3 +44,16 @@ def test_licences_as_distributed(text, licence):
 
 def test_unknown_lines_stay_sentences():
     assert license_scan.identifiers("one\ntwo: three\nAll rights\nreserved\nfour") == [None, None, "rights-reserved", None]
+
+
+def test_short_tokens_are_scored_and_one_credential_does_not_silence_the_rest():
+    assert [v for v, _, _ in secrets.tokens("an abcdef tokens Xk3vQz9p password=Xk3vQz9pLm", [("assign", 26, 45)])] == ["abcdef", "tokens", "Xk3vQz9p"]
+    assert [v for v, _, _ in secrets.tokens("an abcdef Xk3vQz9p", [])] == ["abcdef", "Xk3vQz9p"]
+    r = random.Random(3)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 14))) for _ in range(399)]
+    model = secrets.Model({"assign": [hexes(r.randint(8, 20)) for _ in range(200)], "access": [], "hex": []}, [*words, "4e9d40e1b2c3d5f6"])
+    fresh = [hexes(12) for _ in range(100)]
+    found = [secrets.all_spans(f"the {w} end", model) for w in fresh]
+    assert sum(bool(x) for x in found) >= 90
+    assert not any(secrets.all_spans(w, model) for w in words)
