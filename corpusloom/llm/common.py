@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -39,7 +40,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+#: Paths of the tables that this module wrote, by the DataFrame that reads them.
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more. Others in the argument list are left alone."""
+    for df in written:
+        path = _WRITTEN.pop(df, None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:

@@ -4,11 +4,14 @@
    signature of HASHES minimum hashes. Equal sets are one node from here on.
 2. Signatures are cut into bands; equal band values make a bucket. Buckets with the same
    members count once.
-3. Every member of a bucket is compared with the bucket's smallest node. Where that leaves
-   a bucket with several components, members of different components are compared with
-   each other in tiles of bounded size, the most similar first, until they are connected;
-   pairs within one component need no comparison. So no pair of a bucket goes unexamined
-   that could join two components, and a task returns links that join, never all pairs.
+3. Every member of a bucket is compared with the bucket's smallest node, its hub. Members
+   are dealt to parts of bounded size and the hub is sent to each part once, not to each
+   pair. Where that leaves a bucket with several components, the members outside the hub's
+   component are compared with each other and with the hub's component in tiles of bounded
+   size, the most similar first, until they are connected; pairs within one component need
+   no comparison. So no pair of a bucket goes unexamined that could join two components,
+   a hub's component is copied once per tile of the others only, and a task returns links
+   that join, never all pairs.
 4. A comparison looks at BATCH hashes at a time and stops once the posterior probability
    (uniform prior) of reaching the threshold falls below MISS; survivors are verified on
    their full shingle sets.
@@ -19,8 +22,10 @@ distinct WIDTH-word shingles, as 64-bit hashes; a text of fewer words, but not n
 shingle. Linked: 100 * intersection >= PERCENT * union.
 
 Defined results: null text or text without words has an empty set, linked with nothing;
-rows with equal doc_id are one document; a null doc_id is linked with nothing and its
-component is null; every row gives a row; an empty table gives no rows.
+rows with equal doc_id are one document: each row has its own set's size, and all have the
+smallest component that any of their texts reaches; a null doc_id is linked with nothing,
+its component and kept are null; ties have no effect (components are smallest ids); every
+row gives a row; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,8 +46,8 @@ WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-6
-#: Members of one bucket and side that meet in one group of a task.
-TILE = 512
+#: Members of one bucket and side that meet in one group of a task, and their shingles.
+TILE, TILE_WORDS = 512, 1 << 20
 #: Bits of the filter that tells which documents' sets are needed; larger inputs make it less sharp, not larger.
 FILTER_BITS = 1 << 27
 MEMO = 250_000
@@ -85,6 +90,10 @@ def shingles(text: bytes | None, width: int, words: WordHash) -> np.ndarray:
     return np.unique(total)
 
 
+def _key(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over a set, in steps that stay in a core's cache."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -105,7 +114,7 @@ def _sign_kernel(width: int):
             for text in common.raw_texts(part.column("text")):
                 s = shingles(text, width, words)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_key(s.tobytes()) if len(s) else None)
                 signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "key", "sign"])
 
@@ -121,7 +130,7 @@ def _set_kernel(width: int, bits, mask: int):
             if len(wanted):
                 part = part.take(pa.array(wanted))
                 sets = [shingles(t, width, words).tobytes() for t in common.raw_texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(_key, sets), pa.binary()), pa.array(sets, pa.binary())], ["node", "key", "set"])
 
     return run
 
@@ -145,33 +154,12 @@ def _signs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
-def _prune_kernel(percent: int):
-    steps = least_matches(percent)
-
-    def run(batches):
-        for part in common.slices(batches):
-            a, b = _signs(part.column("sign_a")), _signs(part.column("sign_b"))
-            live, matches, before = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-            for n, least in steps:
-                matches = matches + (a[live, before:n] == b[live, before:n]).sum(axis=1)
-                on = matches >= least
-                live, matches, before = live[on], matches[on], n
-            yield part.select(["a", "b"]).take(pa.array(live))
-
-    return run
-
-
-def _exact_kernel(percent: int):
-    def run(batches):
-        for part in common.slices(batches, "set_a"):
-            pairs = zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True)
-            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
-            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return run
+_PAIRS = "a bigint, b bigint"
 
 
-_PAIRS = "a bigint, b bigint"
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ordered = [(min(x), max(x)) for x in found]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ordered], pa.int64()), pa.array([x for _, x in ordered], pa.int64())], ["a", "b"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -183,39 +171,74 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def survivors(one: np.ndarray, signs: np.ndarray, rows: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
+    """Those of rows whose signatures may still reach the threshold with one, and their matches; a batch of hashes at a time."""
+    matches, before = np.zeros(len(rows), np.int64), 0
+    for n, least in steps:
+        if not len(rows):
+            break
+        matches = matches + (signs[rows, before:n] == one[before:n]).sum(axis=1)
+        on = matches >= least
+        rows, matches, before = rows[on], matches[on], n
+    return rows, matches
+
+
+def _star_kernel(percent: int):
+    """Verified links of hubs with their members. Rows come sorted: a hub's own rows, then some of its members."""
+    steps = least_matches(percent)
+
+    def run(batches):
+        at, heads = None, []
+        for part in common.slices(batches, "set"):
+            group = list(zip(*(part.column(c).to_pylist() for c in ("hub", "parts", "salt")), strict=True))
+            node = part.column("node").to_pylist()
+            signs = _signs(part.column("sign"))
+            sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+            found, i = [], 0
+            while i < len(node):
+                if group[i] != at:
+                    at, heads = group[i], []
+                j = i
+                while j < len(node) and group[j] == at and node[j] == at[0]:
+                    heads.append((signs[j].copy(), sets[j].copy()))
+                    j += 1
+                i = j
+                while j < len(node) and group[j] == at:
+                    j += 1
+                for sign, own in heads:
+                    rows, _ = survivors(sign, signs, np.arange(i, j), steps)
+                    found += [(at[0], node[k]) for k in rows.tolist() if _linked(own, sets[k], percent)]
+                i = j
+            yield _links(found)
+
+    return run
+
+
 def _tile_kernel(percent: int):
     """Verified links of a tile that join components."""
     steps = least_matches(percent)
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
-        side = table.column("tile").to_numpy()
+        side = table.column("side").to_numpy()
         sign = _signs(table.column("sign").combine_chunks())
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        two = side.min() != side.max()
-        left = np.flatnonzero(side == side.min())
-        right = np.flatnonzero(side == side.max()) if two else left
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.max() else left
         links = []
         for i in left.tolist():
-            other = right[comp[right] != comp[i]]
-            matches, before = np.zeros(len(other), np.int64), 0
-            for n, least in steps:
-                if not len(other):
-                    break
-                matches = matches + (sign[other, before:n] == sign[i, before:n]).sum(axis=1)
-                on = matches >= least
-                other, matches, before = other[on], matches[on], n
-            for j in other[np.argsort(-matches, kind="stable")].tolist():
+            rows, matches = survivors(sign[i], sign, right[comp[right] != comp[i]], steps)
+            for j in rows[np.argsort(-matches, kind="stable")].tolist():
                 if comp[i] != comp[j] and _linked(sets[i], sets[j], percent):
-                    links.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+                    links.append((int(node[i]), int(node[j])))
                     comp[comp == comp[j]] = comp[i]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        return pa.Table.from_batches([_links(links)])
 
     return run
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node with a link; component is the smallest node reachable. links(a, b)."""
+    """(node, component) of every node with a link, as a written table; component is the smallest node reachable. links(a, b)."""
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dup-edges")
     state = None
     while True:
@@ -224,12 +247,16 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.materialize(small, "dup-edges")
+        before, edges = edges, common.materialize(small, "dup-edges")
+        common.forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = common.materialize(both, "dup-components")
+    common.forget(edges)
+    return out
 
 
 def _bits(nodes: DataFrame, many: int) -> tuple[np.ndarray, int]:
@@ -245,15 +272,53 @@ def _bits(nodes: DataFrame, many: int) -> tuple[np.ndarray, int]:
     return out, size - 1
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that are linked: pruned on signatures, then verified on sets. nodes(node, sign, set)."""
-    sign = nodes.select("node", "sign")
-    left = pairs.join(sign.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
-    both = left.join(sign.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").select("a", "b", "sign_a", "sign_b")
-    kept = both.mapInArrow(_prune_kernel(percent), _PAIRS)
-    left = kept.join(nodes.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(nodes.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return common.materialize(both.mapInArrow(_exact_kernel(percent), _PAIRS), "dup-links")
+def _parts(n: Column, words: Column) -> Column:
+    """Parts of at most about TILE members and TILE_WORDS shingles."""
+    return F.ceil(F.greatest(n / TILE, words / TILE_WORDS)).cast("int")
+
+
+def _star_links(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links of every bucket's hub with its members; a hub meets each distinct member once. A hub's members are dealt to parts of
+    bounded size by their hash, and the hub goes to every part, so no part is larger where a bucket is."""
+    pairs = member.where("node <> hub").groupBy("hub", "node").agg(F.max("parts").alias("parts")).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    pairs = common.materialize(pairs, "dup-pairs")
+    at = ["hub", "parts", "salt"]
+    body = pairs.join(nodes, "node").select(*at, "node", "sign", "set")
+    heads = pairs.select(*at).distinct().withColumn("node", F.col("hub")).join(nodes, "node").select(*at, "node", "sign", "set")
+    dealt = heads.unionByName(body).repartition(*at).sortWithinPartitions(*at, F.col("node") != F.col("hub"))
+    links = common.materialize(dealt.mapInArrow(_star_kernel(percent), _PAIRS), "dup-links")
+    common.forget(pairs)
+    return links
+
+
+def _tile_links(member: DataFrame, groups: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links that join components inside buckets which the comparisons with hubs left apart. Members outside the hub's
+    component (the rest) meet each other and the hub's component, in tiles; members of the hub's component don't meet."""
+    on = ["bucket", "tile"]
+    large, grown = member.where("n > 2"), parts.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    heads = groups.where("n > 2").join(grown, "hub", "left").select("bucket", F.coalesce("of_hub", "hub").alias("of_hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
+    now = large.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("tile", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    now = now.join(heads, on).select(*on, "node", "size", "parts", "component", (F.col("component") != F.col("of_hub")).alias("rest"))
+    now = common.materialize(now, "dup-apart")
+    rest = now.where("rest").groupBy("bucket", "parts").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    open_ = rest.select("bucket", _parts(F.col("n"), F.col("words")).alias("rests"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
+    met = now.join(open_, on).join(nodes, "node")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int")
+    place = lambda i, with_rest, j, side: F.struct(i.cast("int").alias("i"), F.lit(with_rest).alias("with_rest"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    tiles, rests = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("rests") - 1)
+    with_rests = F.transform(rests, lambda o: place(F.least(own, o), True, F.greatest(own, o), F.when(own > o, 1).otherwise(0)))
+    places = F.when(F.col("rest"), F.concat(F.transform(tiles, lambda t: place(own, False, t, 0)), with_rests)).otherwise(F.transform(rests, lambda o: place(o, False, F.col("tile"), 1)))
+    met = met.withColumn("p", F.explode(places)).select("bucket", "p.*", "node", "component", "sign", "set")
+    links = common.materialize(met.groupBy("bucket", "i", "with_rest", "j").applyInArrow(_tile_kernel(percent), _PAIRS), "dup-tiled")
+    common.forget(now)
+    return links
+
+
+def _same_id_links(known: DataFrame, again: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the nodes of one doc_id's different texts."""
+    ids = again.where("low < high").select("doc_id")
+    nodes = known.join(ids, "doc_id", "left_semi").select("doc_id", "key").distinct().join(reps.select("key", "node"), "key").select("doc_id", "node")
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -262,44 +327,55 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = common.materialize(docs.mapInArrow(_sign_kernel(width), "doc_id bigint, n_shingles bigint, key binary, sign binary"), "dup-signs")
     known = rows.where("key is not null and doc_id is not null")
-    reps = known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.min("sign").alias("sign"))
+    again = common.materialize(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1"), "dup-again")
+    repeated = not again.isEmpty()
+    reps = known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.min("n_shingles").alias("size"), F.min("sign").alias("sign"))
     reps = common.materialize(reps, "dup-nodes")
 
     band = F.explode(F.array(*(F.xxhash64(F.substring("sign", 1 + 4 * ROWS * k, 4 * ROWS), F.lit(k)) for k in range(BANDS))))
-    bands = reps.select("node", band.alias("bucket"))
-    groups = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("last"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members")).where("hub < last")
-    groups = groups.groupBy("n", "hub", "last", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "hub")
+    bands = reps.select("node", "size", band.alias("bucket"))
+    groups = bands.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("last"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members"), F.sum("size").alias("words")
+    )
+    groups = groups.where("hub < last").groupBy("n", "hub", "last", "members", "words").agg(F.min("bucket").alias("bucket"))
+    groups = common.materialize(groups.select("bucket", "n", "hub", _parts(F.col("n"), F.col("words")).alias("parts")), "dup-buckets")
     member = common.materialize(bands.join(groups, "bucket"), "dup-members")
 
     wanted = member.select("node").distinct()
     bits, mask = _bits(wanted, wanted.count())
     sent = spark.sparkContext.broadcast(bits)
-    sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_set_kernel(width, sent, mask), "node bigint, set binary")
-    nodes = common.materialize(sets.join(reps.select("node", "sign").join(wanted, "node", "left_semi"), "node"), "dup-sets")
-
-    stars = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(stars, nodes, percent)
-    parts = common.materialize(components(links), "dup-components")
-    now = member.where("n > 2").join(parts, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    open_ = now.join(mixed, "bucket", "left_semi").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    open_ = open_.join(nodes, "node").select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "node", "component", "tile", "sign", "set")
-    more = common.materialize(open_.groupBy("bucket", "t1", "t2").applyInArrow(_tile_kernel(percent), _PAIRS), "dup-tiled")
+    sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_set_kernel(width, sent, mask), "node bigint, key binary, set binary")
+    nodes = sets.join(reps.join(wanted, "node", "left_semi").select("node", "key", "sign"), ["node", "key"])
+    nodes = common.materialize((nodes.dropDuplicates(["node", "key"]) if repeated else nodes).select("node", "sign", "set"), "dup-sets")
+    sent.destroy()
+
+    links = _star_links(member, nodes, percent)
+    if repeated:
+        links = links.unionByName(_same_id_links(known, again, reps))
+    parts = components(links)
+    more = _tile_links(member, groups, parts, nodes, percent)
     if not more.isEmpty():
-        parts = common.materialize(components(links.unionByName(more)), "dup-components")
-
-    merged = reps.join(parts, "node", "left").where("many > 1 or component is not null").select("key", F.coalesce("component", "node").alias("component"))
-    out = rows.join(merged, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    # rows that share a doc_id have the smallest component of their texts
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        before, parts = parts, components(links.unionByName(more))
+        common.forget(before)
+    merged = reps.select("key", "node", "many").join(parts, "node", "left").where("many > 1 or component is not null").select("key", F.coalesce("component", "node").alias("component"))
+    out = rows.join(merged, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    common.forget(groups, member, nodes, more)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that are not the first of their group; of rows with one doc_id, one stays."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that are not the first of their group; of rows with one doc_id, one stays (the one whose text
+    has the smallest hash). Rows with a null doc_id all stay. Extra columns pass through."""
+    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
+    gone = common.materialize(found.where("not kept").select("doc_id").distinct(), "dup-gone")
+    again = common.materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"), "dup-twice")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    same = left.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    one = same.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
+    return once.unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
