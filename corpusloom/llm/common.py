@@ -8,7 +8,8 @@ import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Python kernel decodes at a time; texts of a slice are held as Python objects.
 SLICE_ROWS = 256
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only where the session names none."""
+    """The folder that driver and executors share. One of our own only where the session names none and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,6 +72,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: str | None = None) -> Iterat
             at += step
 
 
+def sampled(h: Column, wanted: int, total: int) -> Column:
+    """Whether a row with the 64-bit hash h is among about `wanted` of `total`. The share is held in 63 bits, so it is right for
+    tables of any size."""
+    most = (1 << 63) - 1
+    return h.bitwiseAND(F.lit(most)) <= F.lit(most if wanted >= total else most * wanted // total)
+
+
 def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str | None = None) -> Callable:
     """A mapInArrow function out of one from slice to batch."""
 
