@@ -10,12 +10,14 @@ SAMPLE_BYTES, picked by hash over the whole table, and SAMPLE_WORDS words of the
 change language on the way, so transitions are learned from code-switched sequences.
 The conditional log-likelihood is maximised by adaptive gradient steps.
 
-Words are maximal runs of letters, lower-cased. Emissions of known words are remembered
+Words are runs of letters, lower-cased, cut after LONGEST. Emissions of known words are remembered
 by each worker, so the cost of features falls on new words only.
 
 Defined results: null text or text without letters gives lang_pred "und" and score 0; a
 null doc_id counts as the empty string in the fold; with no labelled row to learn from,
-every text is "und"; every row gives a row; ties go to the smaller label.
+every text is "und"; every row gives a row, repeated rows too; equal rows count once in
+training; ties go to the smaller label; an empty table gives no rows; columns pass through,
+but for those called lang_pred or score, which the results replace.
 """
 
 from __future__ import annotations
@@ -47,13 +49,21 @@ START = 0.15
 LEXICON = 4_000
 #: Words whose emissions a worker remembers.
 MEMO = 250_000
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Letters after which a longer run is cut into a further word, so every letter of unspaced scripts counts.
+LONGEST = 40
+_RUNS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST).findall
 SCHEMA = "lang_pred string, score double"
+RESULTS = ("lang_pred", "score")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and the marks that join them; runs without any letter are none."""
+    return [w for w in _RUNS(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(word: str, lexicon: frozenset | set) -> list[int]:
     """Hashed affix, n-gram and lexicon features of a word."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     out = {f"p{w[:k]}" for k in (2, 3, 4)} | {f"s{w[-k:]}" for k in (2, 3, 4)}
     out |= {w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
     if word in lexicon:
@@ -136,7 +146,7 @@ class CRF:
         counts: list[dict[str, int]] = [{} for _ in labels]
         for lang, text in texts:
             for line in text.split("\n"):
-                words = WORDS(line.lower())
+                words = words_of(line)
                 every += [(number[lang], words[i : i + 24]) for i in range(0, len(words), 24)]
         for k in rng.permutation(len(every)):
             lang, part = every[k]
@@ -199,7 +209,7 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
-        found = [[w for w in WORDS(t.lower()) if w.isalpha()] if t else [] for t in texts]
+        found = [words_of(t) if t else [] for t in texts]
         if len(self.place) > MEMO:
             self.place, self.table = {}, np.zeros((0, len(model.labels)))
         new = list({w for ws in found for w in ws}.difference(self.place))
@@ -256,23 +266,24 @@ def held_out() -> F.Column:
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> CRF | None:
     """A model of the labelled rows outside the held-out fold: per language about sample_docs
-    documents by hash of doc_id, of which sample_words words are used."""
+    documents by hash of doc_id and text, of which sample_words words are used."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    space = 1_000_000
-    share = F.lit(0)
+    h = F.xxhash64("doc_id", "text")
+    share = F.lit(False)
     for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, int(min(1.0, sample_docs / n) * space)).otherwise(share)
-    picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share) & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+        share = F.when(F.col("lang") == lang, common.sampled(h, sample_docs, n)).otherwise(share)
+    picked = known.where(share & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = picked.select("lang", "text", h.alias("h")).dropDuplicates(["lang", "h"]).collect()
     return CRF.train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))], sample_words)
 
 
 def identify(docs: DataFrame, model: CRF | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns of keep (all by default) and lang_pred, score for every row of docs. Only text is looked at."""
-    names = keep or docs.columns
+    """The columns of keep (all by default) and lang_pred, score for every row of docs. Only text is looked at; columns of docs
+    that are called like the results give way to them."""
+    names = [n for n in keep or docs.columns if n not in RESULTS]
     sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(_kernel(sent, names, uuid.uuid4().hex), f"{fields}, {SCHEMA}")
