@@ -5,15 +5,18 @@ put into one prefix tree per kind over character classes; states whose outgoing
 frequencies are statistically compatible (Hoeffding bound, tested along all common
 continuations) are merged, red states against blue, into a probabilistic automaton with
 the frequencies of characters within each class. A further automaton of the same make is
-learned from ordinary tokens of the sample. Every candidate token of every whole text is
-then scored by its log-likelihood under the best kind's automaton less that under the
-ordinary one, per character; a threshold taken from the labelled tokens decides.
+learned from ordinary tokens of the sample, less those that score like credentials. Every
+candidate token of every whole text is then scored by its log-likelihood under the best
+kind's automaton less that under the ordinary one, per character; a threshold taken from
+the labelled tokens decides. Candidates are the maximal runs of SHORTEST or more of the
+characters that an assigned credential may have, whatever they are made of.
 
 The base spans always stay; a scored span is added where it overlaps none of them.
 
-Defined results: null or empty text has no spans; every row gives a row; where the sample
+Defined results: null or empty text has no spans; every row gives a row, repeated rows and
+null doc_ids included; spans that begin together are ordered by kind; where the sample
 holds fewer than LEAST credentials of a kind, that kind has no automaton and adds nothing;
-an empty table gives no rows.
+an empty table gives no rows; other columns of the input are ignored, or pass through redact.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import zlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 NAME = "op8_secret_scan"
-#: Documents whose tokens are learned from, on average, and the credentials and ordinary tokens kept of them per kind.
+#: Documents whose tokens are learned from, on average (any number of documents in the table), and the credentials and ordinary tokens kept of them per kind.
 SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 400
 #: Credentials of a kind below which nothing is learned.
 LEAST = 20
@@ -45,14 +48,15 @@ ORDINARY = 0.99
 
 # The base patterns of the contract, group 2 of 6+, 20+ and 24+ characters.
 _WORDS = ("password", "passwd", "secret", "token", "api_?key")
+_PLAIN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in _WORDS)
 ASSIGN = re.compile("(" + _EITHER + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
-HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
+HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
 #: Tokens that may be credentials.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 VALUE = re.compile(r"""[=:"']*([A-Za-z0-9+/_.-].*?)=*$""").match
 
 SPANS_DDL = "array<struct<kind:string,start:bigint,stop:bigint>>"
@@ -60,7 +64,9 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    low = text.lower()
+    # the pattern is only run where one of its words is
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if any(w in low for w in _PLAIN) else []
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -177,8 +183,14 @@ class Model:
     def __init__(self, positives: dict[str, list[str]], negatives: list[str]):
         self.kinds = {k: Automaton(words) for k, words in positives.items() if len(words) >= LEAST}
         self.ordinary = Automaton(negatives or ["a"])
-        self.memo: dict[str, str | None] = {}
+        self.memo: dict[str, tuple[str, int, int] | None] = {}
         own = sorted(self.best(w)[0] for k in self.kinds for w in positives[k])
+        if own:
+            # tokens that look more like credentials than a quarter of the labelled ones are unlabelled credentials:
+            # the ordinary automaton is inferred again without them
+            negatives = [w for w in negatives if self.best(w)[0] < max(0.0, own[len(own) // 4])]
+            self.ordinary = Automaton(negatives or ["a"])
+            own = sorted(self.best(w)[0] for k in self.kinds for w in positives[k])
         other = sorted(self.best(w)[0] for w in negatives) if self.kinds else []
         self.threshold = max([0.0, *own[len(own) // 50 : len(own) // 50 + 1], *(x + 1e-9 for x in other[max(0, int(ORDINARY * len(other)) - 1) :][:1])])
 
@@ -186,13 +198,17 @@ class Model:
         base = self.ordinary.score(word)
         return max(((a.score(word) - base, k) for k, a in self.kinds.items()), default=(-math.inf, ""))
 
-    def kind(self, word: str) -> str | None:
-        if word not in self.memo:
+    def hit(self, token: str) -> tuple[str, int, int] | None:
+        """The kind of a token and where its value is in it; None for an ordinary one."""
+        if token not in self.memo:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            score, kind = self.best(word)
-            self.memo[word] = kind if score >= self.threshold else None
-        return self.memo[word]
+            found, v = None, VALUE(token)
+            if v and len(v[1]) >= SHORTEST:
+                score, kind = self.best(v[1])
+                found = (kind, *v.span(1)) if score >= self.threshold else None
+            self.memo[token] = found
+        return self.memo[token]
 
 
 def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -217,9 +233,20 @@ def all_spans(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found = base_spans(text)
-    found += [(f"learned_{k}", s, e) for v, s, e in tokens(text, found) if (k := model.kind(v))]
-    rank = {k: i for i, k in enumerate((*KINDS, *(f"learned_{k}" for k in KINDS)))}
-    return sorted(found, key=lambda x: (x[1], rank[x[0]]))
+    every, hit = TOKEN.findall(text), model.hit
+    if any([hit(t) for t in set(every)]):  # only then the places are looked for
+        free, at, reach, new = sorted((s, e) for _, s, e in found), 0, 0, []
+        for m in TOKEN.finditer(text):
+            while at < len(free) and free[at][0] < m.end():
+                reach = max(reach, free[at][1])
+                at += 1
+            if reach <= m.start() and (k := hit(m[0])):
+                new.append((f"learned_{k[0]}", m.start() + k[1], m.start() + k[2]))
+        found += new
+    return sorted(found, key=lambda x: (x[1], _RANK[x[0]]))
+
+
+_RANK = {k: i for i, k in enumerate((*KINDS, *(f"learned_{k}" for k in KINDS)))}
 
 
 def _sample_kernel(many: int):
@@ -252,29 +279,17 @@ def _sample_kernel(many: int):
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> Model:
-    """The model of a bounded sample of docs: about sample_docs documents by hash of doc_id,
-    of their distinct tokens the sample_tokens smallest by hash per kind."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(1, total))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
-    found = picked.select("text").mapInArrow(_sample_kernel(sample_tokens), "kind string, word string, h bigint").distinct()
-    kept = {}
-    for kind in (*KINDS, "ordinary"):
-        rows = found.where(F.col("kind") == kind).orderBy("h", "word").limit(sample_tokens)
-        kept[kind] = rows
-    words: dict[str, list[str]] = {k: [] for k in kept}
-    union = None
-    for rows in kept.values():
-        union = rows if union is None else union.unionByName(rows)
-    for row in union.collect():
+    """The model of a bounded sample of docs: about sample_docs documents by hash of their rows,
+    of their distinct tokens the sample_tokens smallest by hash per kind, cut to 256 characters."""
+    picked = docs.where(common.sampled(F.xxhash64("doc_id", "text"), sample_docs, docs.count()))
+    found = picked.select("text").mapInArrow(_sample_kernel(sample_tokens), "kind string, word string, h bigint")
+    rank = F.dense_rank().over(Window.partitionBy("kind").orderBy("h", "word"))
+    words: dict[str, list[str]] = {k: [] for k in (*KINDS, "ordinary")}
+    for row in found.withColumn("rank", rank).where(F.col("rank") <= sample_tokens).select("kind", "word").distinct().collect():
         words[row["kind"]].append(row["word"])
     for v in words.values():
         v.sort()
-    # what a learned kind would flag among ordinary tokens includes unlabelled credentials of its own
-    # format; those that are wholly of a labelled shape are left out of the ordinary ones
-    shaped = re.compile("[0-9a-f]{16,}|AKIA[A-Z0-9]{12,}").fullmatch
-    ordinary = [w for w in words.pop("ordinary") if not shaped(w)]
-    return Model(words, ordinary)
+    return Model(words, words.pop("ordinary"))
 
 
 def _scan_kernel(model: Model):
