@@ -12,10 +12,11 @@ SPAN bytes, and the records are cut out of them.
 
 Records are stored as gzip members, one per record, so each can be read by itself.
 
-Defined results: null html is an empty payload; a null url is an empty target; page_ids
-are taken as keys (a repeated page_id gives a record per row; of equal rows all but one
-are revisits only if their page_id differs from the smallest), a null one is never a
-response that others refer to; an empty table gives no rows.
+Defined results: null html is an empty payload; a null url is an empty target; every row
+gives a record and is decided by its own page_id and payload, so a repeated page_id loses
+no payload; rows equal in both are one record written twice, under one Record-ID; a null
+page_id is always a response, and none that others refer to; an empty table gives no rows;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str, more: str = "") -> str:
+    """A response is named by page and payload, so that revisits can name it without seeing it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id} {digest} {more}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record. A revisit has no payload, but the digest and size of the full one and the page it repeats."""
     kind = "response" if refers_to is None else "revisit"
@@ -74,7 +80,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest) if refers_to is None else record_id(page_id, digest, f'revisit {url}')}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').encode('unicode_escape').decode()}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -84,7 +90,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(http) + len(body)}",
     ]
     if refers_to is not None:
-        head[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
@@ -100,7 +106,7 @@ def parse(raw: bytes) -> dict:
     whole = fields["WARC-Type"] == "response"
     if whole and digest_of(payload) != stated:
         raise ValueError("a payload does not have its stated digest")
-    refers = None if whole else fields["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">")
+    refers = None if whole else fields["X-Refers-To-Page-ID"]
     return {
         "page_id": None if fields["X-Page-ID"] == "None" else int(fields["X-Page-ID"]),
         "url": fields["WARC-Target-URI"].encode().decode("unicode_escape"),
@@ -185,12 +191,13 @@ def _read_kernel(folder: str, payloads: bool):
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """pages(page_id, url, html) and refers_to: the smallest page_id with the same payload, null for that one itself.
-    Digests are grouped and joined in narrow rows; the payloads are joined by page_id only."""
+    Digests are grouped and joined in narrow rows; each row is then decided by its page_id and digest."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    narrow = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    digest = F.sha1(payload).alias("digest")
+    narrow = pages.select("page_id", digest, F.octet_length(payload).alias("size"))
     firsts = narrow.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = narrow.join(firsts, "digest").where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    return pages.select("page_id", "url", "html").join(again, "page_id", "left")
+    again = narrow.join(firsts, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    return pages.select("page_id", "url", "html", digest).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least: int = REVISIT_FROM) -> DataFrame:
