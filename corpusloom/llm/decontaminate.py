@@ -9,18 +9,24 @@ are searched backward at once, every match is located by walking to a sampled po
 and the word ranges of the matches are merged into spans to remove.
 
 The phrases are the windows of WINDOW consecutive words of each item; an item of fewer
-words, but not none, is one window. They are sent to the tasks in blocks of bounded size,
-one pass over the corpus per block; nothing is shuffled.
+words, but not none, is one window. They are sent to the tasks in blocks of bounded size
+(very long items in overlapping rows). A task searches each of its shards for one block
+after the other and holds one block at a time, so the corpus is read once whatever the
+number of blocks; nothing is shuffled.
 
 Words: A-Z lower-cased, then runs of characters other than ASCII non-alphanumerics.
 
 Defined results: null or empty text has no words; items without words have no windows;
-items of equal id count as one; every row gives a row; other columns pass through.
+items of equal id count as one, and those without an id as one with an empty id; every row
+gives a row, repeated rows and null doc_ids included; items are ordered by id; an empty
+table gives no rows; other columns pass through, but for n_words, ranges and items, which
+the results replace (``remove`` leaves them as they are).
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +38,17 @@ from . import common
 NAME = "op7_decontaminate"
 WINDOW = 10
 #: Bytes of item texts that one pass sends to every task.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Words of an item that one row of a block holds at most; longer items go in rows that overlap by a window.
+ITEM_WORDS = 1 << 13
 #: Symbols and words after which a shard is closed.
 SHARD_SYMBOLS, SHARD_WORDS = 1 << 19, 1 << 22
+#: Bytes of text after which a shard is closed where there are several blocks, for each of which it is read again.
+SHARD_BYTES = 16 << 20
 SAMPLE = 16
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+RESULTS = ("n_words", "ranges", "items")
 RESULT_DDL = "n_words bigint, ranges array<struct<start:bigint,stop:bigint>>, items array<string>"
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -48,21 +59,37 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of items as symbol arrays, by length, and the items of each window."""
+    """Windows of items as sorted matrices of symbols, by length, and the items of each window."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names: list[str] = []
+        number: dict[str, int] = {}
+        of_length: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words_of(text)]
-            if ids:
-                for i in range(max(1, len(ids) - window + 1)):
-                    found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+            ids = np.array([self.symbol.setdefault(w, len(self.symbol) + 2) for w in words_of(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                found = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows, owners = of_length.setdefault(n, ([], []))
+                rows.append(found)
+                owners.append(np.full(len(found), number.setdefault(item, len(number)), np.int32))
+        self.names = list(number)
         self.sigma = len(self.symbol) + 2
-        self.by_length: list[tuple[int, np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(w) for w in found}):
-            same = sorted(w for w in found if len(w) == n)
-            self.by_length.append((n, np.array(same, dtype=np.int64), [sorted(found[w]) for w in same]))
+        #: (length, distinct windows, where each one's owners begin, owners as numbers in names)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in sorted(of_length):
+            rows, owners = (np.concatenate(x) for x in of_length.pop(n))
+            order = np.lexsort((owners, *(rows[:, k] for k in range(n - 1, -1, -1))))
+            rows, owners = rows[order], owners[order]
+            new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+            own = new | np.concatenate(([True], owners[1:] != owners[:-1]))
+            starts = np.concatenate(([0], np.cumsum(own)))[np.append(np.flatnonzero(new), len(rows))]
+            self.by_length.append((n, rows[new], starts, owners[own]))
+
+    def owners(self, at: int, window: int) -> list[str]:
+        _, _, starts, owners = self.by_length[at]
+        return [self.names[k] for k in owners[starts[window] : starts[window + 1]].tolist()]
 
 
 def suffix_order(s: np.ndarray, sigma: int) -> np.ndarray:
@@ -146,6 +173,7 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase numbers, first rows, past-last rows) of those that occur; phrases is a matrix."""
         live = np.arange(len(phrases))
+        phrases = phrases.astype(np.int64, copy=False)
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[live, k]
@@ -189,7 +217,7 @@ def shard_hits(docs: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tupl
     index = FMIndex(text[place], phrases.sigma)
     cover = np.zeros(len(text) + 1, np.int64)
     hit = False
-    for length, matrix, owners in phrases.by_length:
+    for which_length, (length, matrix, _, _) in enumerate(phrases.by_length):
         live, lo, hi = index.search(matrix)
         if not len(live):
             continue
@@ -200,7 +228,7 @@ def shard_hits(docs: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tupl
         np.add.at(cover, at + length, -1)
         doc = np.searchsorted(starts, at, side="right") - 1
         for d, w in np.unique(np.stack((doc, live[which])), axis=1).T.tolist():
-            items[d].update(owners[w])
+            items[d].update(phrases.owners(which_length, w))
     if hit:
         inside = np.cumsum(cover[:-1]) > 0
         edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
@@ -221,84 +249,116 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _kernel(phrases, names: list[str], cut: bool = False):
-    """Adds this block's hits to those of earlier passes; phrases is a broadcast. The columns of names pass through;
-    with cut, alone, and text without the hits."""
+def _loaded(blocks: list):
+    """The blocks one after the other; where there are several, none stays in memory behind its turn."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
+
+
+def _kernel(blocks: list, names: list[str], cut: bool = False):
+    """Hits of all blocks (broadcasts) for each shard in turn. The columns of names pass through; with cut, alone, and text
+    without the hits."""
 
     def run(batches):
-        block: Phrases = phrases.value
-        get = block.symbol.get
-        parts, docs, counts, symbols, n_words = [], [], [], 0, 0
+        several = len(blocks) > 1
+        get = None if several else blocks[0].value.symbol.get
+        parts, docs, counts, symbols, n_words, n_bytes = [], [], [], 0, 0, 0
 
         def flush():
-            spans, items = shard_hits(docs, block)
+            spans, items = [[] for _ in counts], [set() for _ in counts]
+            for block in _loaded(blocks):
+                shard = docs if not several else [_symbols(block.symbol.get, words_of(t)) for p in parts for t in common.raw_texts(p.column("text"))]
+                new_spans, new_items = shard_hits(shard, block)
+                spans = [merged(a + b) if a and b else a or b for a, b in zip(spans, new_spans, strict=True)]
+                items = [a | b for a, b in zip(items, new_items, strict=True)]
             at = 0
             for part in parts:
                 n = part.num_rows
                 new_spans, new_items = spans[at : at + n], items[at : at + n]
-                if "ranges" in part.schema.names:
-                    old = part.column("ranges").to_pylist(), part.column("items").to_pylist()
-                    new_spans = [merged([(x["start"], x["stop"]) for x in a] + b) if a else b for a, b in zip(old[0], new_spans, strict=True)]
-                    new_items = [b.union(a) for a, b in zip(old[1], new_items, strict=True)]
-                ranges = pa.array([[{"start": b, "stop": e} for b, e in r] for r in new_spans], _RANGES)
-                found = pa.array([sorted(x) for x in new_items], pa.list_(pa.string()))
                 if cut:
                     text = part.column("text")
                     new = [without(t, r) if r else t for t, r in zip(text.to_pylist(), new_spans, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(new, text.type) if c == "text" else part.column(c) for c in names], names)
-                    at += n
-                    continue
-                cols = {"n_words": pa.array(counts[at : at + n], pa.int64()), "ranges": ranges, "items": found}
-                yield pa.RecordBatch.from_arrays([cols[c] if c in cols else part.column(c) for c in (*names, *cols)], [*names, *cols])
+                else:
+                    ranges = pa.array([[{"start": b, "stop": e} for b, e in r] for r in new_spans], _RANGES)
+                    found = pa.array([sorted(x) for x in new_items], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts[at : at + n], pa.int64()), ranges, found], [*names, *RESULTS])
                 at += n
 
         for part in common.slices(batches, "text"):
             for text in common.raw_texts(part.column("text")):
                 words = words_of(text)
-                ids = np.fromiter(map(get, words, _zeros()), np.int64, len(words))
-                docs.append(ids)
+                if several:  # symbols differ from block to block
+                    symbols += len(words)
+                    n_bytes += len(text or b"")
+                else:
+                    docs.append(_symbols(get, words))
+                    symbols += int(np.count_nonzero(docs[-1]))
                 counts.append(len(words))
-                symbols += int(np.count_nonzero(ids))
                 n_words += len(words)
-            kept = [n for n in part.schema.names if n in names or n in ("ranges", "items")]
-            parts.append(part.select(kept))
-            if symbols >= SHARD_SYMBOLS or n_words >= SHARD_WORDS:
+            parts.append(part if several else part.select(list(names)))
+            if symbols >= SHARD_SYMBOLS * (8 if several else 1) or n_words >= SHARD_WORDS or n_bytes >= SHARD_BYTES:
                 yield from flush()
-                parts, docs, counts, symbols, n_words = [], [], [], 0, 0
+                parts, docs, counts, symbols, n_words, n_bytes = [], [], [], 0, 0, 0
         if parts:
             yield from flush()
 
     return run
 
 
-def _zeros():
-    from itertools import repeat
+def _symbols(get, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+
+
+def _item_kernel(window: int):
+    """Items as rows of at most ITEM_WORDS words that overlap by a window less one word."""
+
+    def run(batches):
+        for part in common.slices(batches, "text"):
+            items, numbers, texts = [], [], []
+            for item, text in zip(part.column("item").to_pylist(), common.raw_texts(part.column("text")), strict=True):
+                words = words_of(text)
+                for k, at in enumerate(range(0, len(words), ITEM_WORDS)):
+                    if at and len(words) - at < window:
+                        break  # the row before has its windows, by the overlap
+                    items.append(item)
+                    numbers.append(k)
+                    texts.append(b" ".join(words[at : at + ITEM_WORDS + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())], ["item", "number", "text"])
 
-    return repeat(0)
+    return run
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
     """The items in blocks of about block_bytes, dealt by hash, each collected by itself."""
-    size = benchmark.agg(F.sum(F.octet_length("text") + 32).alias("n")).first()["n"] or 0
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    items = common.materialize(items.mapInArrow(_item_kernel(window), "item string, number int, text binary"), "items")
+    size = items.agg(F.sum(F.octet_length("text") + 32).alias("n")).first()["n"] or 0
     many = max(1, -(-size // block_bytes))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.encode("text", "UTF-8").alias("text"))
     for k in range(many):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(many)) == k) if many > 1 else items
-        yield [(r["item"], None if r["text"] is None else bytes(r["text"])) for r in rows.collect()]
+        rows = items.where(F.pmod(F.xxhash64("item", "number", "text"), F.lit(many)) == k) if many > 1 else items
+        yield [(r["item"], bytes(r["text"])) for r in rows.collect()]
+    common.forget(items)
+
+
+def _sent(context, phrases: Phrases):
+    """A broadcast that the driver doesn't keep a copy of in its own process."""
+    out = context.broadcast(phrases)
+    out.__dict__.pop("_value", None)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """The columns of keep, n_words, ranges (merged hit word ranges) and items (ids whose windows occur) for every row of docs;
-    with cut, the columns of keep alone, and text without the hits."""
+    with cut, the columns of keep alone, and text without the hits. Columns called like the results give way to them."""
     context = docs.sparkSession.sparkContext
-    todo = [context.broadcast(Phrases(b, window)) for b in blocks(benchmark, block_bytes)]
-    docs = docs.select(*dict.fromkeys((*keep, "text")))
-    for i, phrases in enumerate(todo):
-        last = i == len(todo) - 1
-        names = list(keep) if last else list(dict.fromkeys((*keep, "text")))
-        fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-        docs = docs.mapInArrow(_kernel(phrases, names, cut and last), fields if cut and last else f"{fields}, {RESULT_DDL}")
-    return docs
+    sent = [_sent(context, Phrases(b, window)) for b in blocks(benchmark, window, block_bytes)]
+    names = [c for c in keep if cut or c not in RESULTS]
+    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    docs = docs.select(*(f"`{c}`" for c in dict.fromkeys((*names, "text"))))
+    return docs.mapInArrow(_kernel(sent, names, cut), fields if cut else f"{fields}, {RESULT_DDL}")
 
 
 def without(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
