@@ -8,7 +8,8 @@ with other groups until one round closes less than one bin in SETTLED or one gro
 left. A group never holds more than GROUP_ROWS bins on average, whatever the input.
 
 Defined results: null text is an empty text (its only id is the end id); every row is a
-document of its own, repeated doc_ids included; an empty table gives no rows.
+document of its own, repeated and null doc_ids included; documents of equal length keep the
+order of their task; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def pieces(bins: DataFrame) -> DataFrame:
         lambda acc, x: F.struct((acc["at"] + x["length"]).alias("at"), F.concat(acc["offsets"], F.array(acc["at"])).alias("offsets")),
     )["offsets"]
     return bins.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("items", starts.alias("offset"))).alias("x")).select(
-        "x.items.doc_id", "x.items.piece", "x.items.start", "x.items.length", "x.items.ids_crc32", "sequence_id", "x.offset"
+        "x.items.doc_id", F.col("x.items.piece").cast("int").alias("piece"), "x.items.start", "x.items.length", "x.items.ids_crc32", "sequence_id", "x.offset"
     )
 
 
