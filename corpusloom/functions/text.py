@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +20,7 @@ def _c(x: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """White-space tokens (F5); empty text has none."""
-    t = F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+"))
+    return F.array_remove(F.split(_c(text), f"{SPACE}+"), "")
 
 
 def n_words(text: Column | str) -> Column:
@@ -49,21 +49,66 @@ def ngrams(tokens: Column, n: int, keep=None) -> Column:
     return F.filter(out, keep) if keep else out
 
 
+# Control characters that go, those that become a blank, and characters with what they become.
+CONTROLS = "\u0001\u0002\u0003\u0004\u0005\u0006\u0007\u0008\u000e\u000f\u0011\u0012\u0013\u0014\u0015\u0016\u0017\u0018\u0019\u001a\u001b"
+SOFT_HYPHEN = "\u00ad"
+BLANKS = "\u000b\u000c\u0085"
+HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2043"
+MINUSES = "\u2212\uff0d\u207b"
+SLASHES = "\u2044\u2215"
+APOSTROPHES = "\u2019\u055a\ua78b\ua78c\uff07"
+SINGLE_QUOTES = "\u2018\u201a\u201b"
+DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
+ACCENTS = "\u0060\u00b4"
+PRIMES = {"\u2032": "'", "\u2035": "'", "\u2033": "''", "\u2036": "''", "\u2034": "'''", "\u2037": "'''", "\u2057": "''''"}
+ELLIPSES = {"\u2026": "...", " . . . ": " ... "}
+
+
 def normalize_unicode(text: Column | str) -> Column:
-    """Typographic variants to ASCII (F1)."""
-    # Characters and what they become; the order of the steps matters.
-    gone = "".join(chr(c) for c in (*range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0))) + "­"
-    blank = "\x0b\x0c\x85"
-    dashes = "‐‑‒–—―⁃−⁻₋﹣－"
-    double = "“”„‟«»＂"
-    single = "‘’‚‛‹›`´ʹʼ＇"
-    slashes = "⁄∕／"
-    t = F.translate(_c(text), blank + dashes + double + single + slashes + gone, " " * len(blank) + "-" * len(dashes) + '"' * len(double) + "'" * len(single) + "/" * len(slashes))
-    for a, b in (("′", "'"), ("″", "''"), ("‴", "'''"), ("⁗", "''''"), ("…", "..."), (" . . . ", " ... ")):
+    """Typographic variants to ASCII, control characters away (F1). Other characters stay as they are."""
+    pairs = ((BLANKS, " "), (HYPHENS + MINUSES, "-"), (DOUBLE_QUOTES, '"'), (SINGLE_QUOTES + APOSTROPHES + ACCENTS, "'"), (SLASHES, "/"))
+    before = "".join(a for a, _ in pairs)
+    t = F.translate(_c(text), before + CONTROLS + SOFT_HYPHEN, "".join(b * len(a) for a, b in pairs))
+    for a, b in (PRIMES | ELLIPSES).items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
+def _decomposed(x):
+    import unicodedata
+
+    return None if x is None else unicodedata.normalize("NFD", x)
+
+
+def nfd(text: Column | str) -> Column:
+    """Canonical decomposition (F14). Only texts with characters beyond ASCII go through Python."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def decomposed(x: pd.Series) -> pd.Series:
+        return x.map(_decomposed)
+
+    t = _c(text)
+    return F.coalesce(decomposed(F.when(t.rlike(r"[^\x00-\x7f]"), t)), t)
+
+
+def nfd_each(texts: Column | str) -> Column:
+    """nfd of every element of an array."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<string>")
+    def decomposed(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else [_decomposed(t) for t in a])
+
+    t = _c(texts)
+    return F.coalesce(decomposed(F.when(F.exists(t, lambda x: x.rlike(r"[^\x00-\x7f]")), t)), t)
+
+
+def utf8(text: Column | str) -> Column:
+    """Text as valid UTF-8 holds it (F17): bytes that are no character go."""
+    return F.replace(F.make_valid_utf8(_c(text)), F.lit("\ufffd"), F.lit(""))
+
+
 def clean_passage(text: Column | str) -> Column:
     """Line breaks to blanks, curly apostrophe to straight, one outer quote off each end (F2)."""
     t = F.translate(_c(text), "\n’", " '")
@@ -83,12 +128,21 @@ def bm25_tokens(text: Column | str) -> Column:
 
 
 def title_of(text: Column | str, source: Column | str | None = None, most: int = 64, first_line=("Wikipedia", "Pile-CC", "OpenWebText2")) -> Column:
-    """First non-empty line, or for other sources the first line of over three words; cut to most words."""
-    lines = F.transform(F.split(_c(text), "\n"), squeeze)
-    plain = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
-    longer = F.get(F.filter(lines, lambda x: F.size(F.split(x, " ")) > 3), F.lit(0))
+    """First non-empty line, or for other sources the first line of over three words; cut to most words.
+    The line is found by one match; only it is squeezed."""
+    plain, longer = _line(text, 1), _line(text, 4)
     picked = longer if source is None else F.when(_c(source).isin(*first_line), plain).otherwise(longer)
-    return F.array_join(F.slice(F.split(picked, " "), 1, most), " ")
+    return F.array_join(F.slice(words(picked), 1, most), " ")
+
+
+#: White space within a line, and what is no white space.
+_GAP, _INK = r"[\s\p{Z}\x1c-\x1f\x85&&[^\n]]", r"[^\s\p{Z}\x1c-\x1f\x85]"
+
+
+def _line(text: Column | str, least: int) -> Column:
+    """The first line of at least so many words, null where there is none."""
+    found = F.regexp_extract(_c(text), rf"(?:^|\n)({_GAP}*+{_INK}++" + rf"(?:{_GAP}++{_INK}++){{{least - 1}}}" + r"[^\n]*+)", 1)
+    return F.when(found != "", found)
 
 
 #: Headings that a paper's or patent's text opens with.
@@ -125,7 +179,7 @@ def wiki_sections(text: Column | str, header_chars: int = 30) -> Column:
 
 def contains_tokens(text: Column | str, answer: Column | str) -> Column:
     """Whether the answer's tokens are a contiguous run of the text's, uncased; an answer of no tokens always is,
-    a null text never (F14, string mode)."""
+    a null text never (F14, string mode). Callers decompose both before."""
     joined = lambda x: F.concat(F.lit(MARK), F.array_join(regex_tokens(x, True), MARK), F.lit(MARK))
     none = F.size(regex_tokens(answer)) == 0
     return F.coalesce(none | F.contains(joined(text), joined(answer)), F.lit(False))

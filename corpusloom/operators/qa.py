@@ -4,36 +4,40 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import contains_tokens, normalize_answer, words
+from corpusloom.functions.text import MARK, contains_tokens, nfd, nfd_each, normalize_answer, words
 
 
 def matched(run: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:
     """Ranked run with passage text and has_answer (J1, F14). run(qid, doc_id, score, rank),
     passages(doc_id, text), questions(qid, answers)."""
     rows = run.join(passages.select("doc_id", "text"), "doc_id").join(questions.select("qid", "answers"), "qid")
-    return rows.withColumn("has_answer", F.exists("answers", lambda a: contains_tokens(F.col("text"), a))).drop("answers")
+    rows = rows.withColumn("_text", nfd("text")).withColumn("_answers", nfd_each("answers"))
+    return rows.withColumn("has_answer", F.exists("_answers", lambda a: contains_tokens(F.col("_text"), a))).drop("answers", "_text", "_answers")
 
 
 def regex_matched(text: F.Column, answers: F.Column):
-    """Regex mode: any answer is a pattern found in the text; invalid patterns match nothing."""
+    """Regex mode: any answer is a pattern found in the text, both decomposed; invalid patterns match nothing."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("boolean")
     def found(texts: pd.Series, many: pd.Series) -> pd.Series:
+        import unicodedata
+
         import regex
 
+        nfd = lambda x: unicodedata.normalize("NFD", x)
         known: dict = {}
 
         def pattern(p):
             if p not in known:
                 try:
-                    known[p] = regex.compile(p, flags=regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
+                    known[p] = regex.compile(nfd(p), flags=regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
                 except Exception:
                     known[p] = None
             return known[p]
 
-        return pd.Series([t is not None and any((c := pattern(p)) is not None and c.search(t) is not None for p in (a if a is not None else ())) for t, a in zip(texts, many, strict=True)])
+        return pd.Series([t is not None and any((c := pattern(p)) is not None and c.search(nfd(t)) is not None for p in (a if a is not None else ())) for t, a in zip(texts, many, strict=True)])
 
     return found(text, answers)
 
@@ -72,11 +76,16 @@ def exact_match(prediction, gold):
     return (normalize_answer(prediction) == normalize_answer(gold)).cast("double")
 
 
+def _occurrences(tokens):
+    """Tokens in order, each with how many equal ones stand before it: what makes a multiset a set."""
+    one = lambda a: F.transform(a, lambda x, i: F.concat(x, F.lit(MARK), (i - F.array_position(a, x)).cast("string")))
+    return F.get(F.transform(F.array(F.array_sort(tokens)), one), F.lit(0))
+
+
 def overlap_f1(prediction, gold):
     """F1 of the token multisets of two answers."""
     p, g = words(normalize_answer(prediction)), words(normalize_answer(gold))
-    count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(count(p, t), count(g, t)))
+    same = F.size(F.array_intersect(_occurrences(p), _occurrences(g)))
     return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 
 

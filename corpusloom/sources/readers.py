@@ -24,9 +24,10 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated judgements with a header (S4). Of repeated pairs one stays: the largest."""
-    rows = spark.read.schema(QRELS).csv(path, sep="\t", header=True)
-    return rows.groupBy(F.col("query-id").alias("qid"), F.col("corpus-id").alias("doc_id")).agg(F.max("score").alias("rel"))
+    """Tab-separated judgements with a header (S4). Of repeated pairs the last row of the last file stays."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("place")
+    rows = spark.read.schema(QRELS).csv(path, sep="\t", header=True).select("*", place)
+    return rows.groupBy(F.col("query-id").alias("qid"), F.col("corpus-id").alias("doc_id")).agg(F.max_by("score", "place").alias("rel"))
 
 
 def beir(spark: SparkSession, folder: str, split: str = "test", prefix: str | None = None, corpus_file: str = "corpus.jsonl", query_file: str = "queries.jsonl", qrels_folder: str = "qrels", strict: bool = False):
