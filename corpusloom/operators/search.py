@@ -59,36 +59,53 @@ def _probed_scores(x: np.ndarray, cells: np.ndarray, q: np.ndarray, kind: str, p
     return s
 
 
+#: Rows and queries whose score matrix is held at once: 8 MB in doubles.
+ROW_TILE, QUERY_TILE = 1024, 1024
+
+
+def _tiles(batches, q: np.ndarray):
+    """(vectors, ids, batch) of at most ROW_TILE rows, read without a Python number per component."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROW_TILE):
+            part = batch.slice(at, ROW_TILE)
+            x = part.column("e").flatten().to_numpy(zero_copy_only=False)
+            yield x.astype(np.float64).reshape(part.num_rows, q.shape[1]), part.column("doc_id").to_numpy(zero_copy_only=False), part
+
+
+def best_of_rows(s: np.ndarray, live: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of each query's k largest live scores in s (rows, queries), ties by doc_id; all queries at once."""
+    s = np.where(live, s, -np.inf).T
+    if s.shape[1] > k:
+        cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        picked = (s >= cut[:, None]) & live.T
+    else:
+        picked = live.T
+    q, r = np.nonzero(picked)
+    order = np.lexsort((docs[r], -s[q, r], q))
+    q, r = q[order], r[order]
+    start = np.searchsorted(q, q)  # of each entry the first of its query
+    kept = np.arange(len(q)) - start < k
+    return q[kept], r[kept]
+
+
 def _kernel(block, k: int, kind: str, exclude_self: bool, threshold: float | None):
     def run(batches):
         ids, q, probed = block.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            x = np.array(batch.column("e").to_pylist(), np.float64)
-            if probed is None:
-                s = _scores(x, q, kind)
-            else:
-                s = _probed_scores(x, batch.column("cell").to_numpy(zero_copy_only=False), q, kind, probed)
-            s = np.round(s, SCALE)
-            out_q, out_d, out_s = [], [], []
-            for j in range(len(ids)):
-                col = s[:, j]
-                live = col > -np.inf if probed is not None else np.ones(len(docs), bool)
+        for x, docs, part in _tiles(batches, q):
+            for at in range(0, len(ids), QUERY_TILE):
+                some, mine = q[at : at + QUERY_TILE], ids[at : at + QUERY_TILE]
+                if probed is None:
+                    s = np.round(_scores(x, some, kind), SCALE)
+                    live = np.ones(s.shape, bool)
+                else:
+                    s = np.round(_probed_scores(x, part.column("cell").to_numpy(zero_copy_only=False), some, kind, probed[at : at + QUERY_TILE]), SCALE)
+                    live = s > -np.inf
                 if exclude_self:
-                    live &= docs != ids[j]
+                    live &= docs[:, None] != mine[None, :]
                 if threshold is not None:
-                    live &= col >= threshold
-                at = np.flatnonzero(live)
-                if len(at) > k:
-                    cut = np.partition(col[at], len(at) - k)[len(at) - k]
-                    at = at[col[at] >= cut]
-                best = at[np.lexsort((docs[at], -col[at]))][:k]
-                out_q.append(np.full(len(best), ids[j]))
-                out_d.append(docs[best])
-                out_s.append(col[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_q, out_d, out_s)], ["qid", "doc_id", "score"])
+                    live &= s >= threshold
+                j, r = best_of_rows(s, live, docs, k)
+                yield pa.RecordBatch.from_arrays([pa.array(mine[j]), pa.array(docs[r]), pa.array(s[r, j])], ["qid", "doc_id", "score"])
 
     return run
 
@@ -119,14 +136,13 @@ def _search(queries: DataFrame, rows: DataFrame, k: int, score: str, exclude_sel
 def _count_kernel(sent):
     def run(batches):
         ids, q, best, best_id = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            s = np.round(_scores(np.array(batch.column("e").to_pylist(), np.float64), q, "cos_sim"), SCALE)
-            other = docs[:, None] != best_id[None, :]
-            n = (other & ((s > best) | ((s == best) & (docs[:, None] < best_id)))).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["qid", "n"])
+        for x, docs, _ in _tiles(batches, q):
+            for at in range(0, len(ids), QUERY_TILE):
+                some = slice(at, at + QUERY_TILE)
+                s = np.round(_scores(x, q[some], "cos_sim"), SCALE)
+                other = docs[:, None] != best_id[None, some]
+                n = (other & ((s > best[some]) | ((s == best[some]) & (docs[:, None] < best_id[some])))).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n)], ["qid", "n"])
 
     return run
 
@@ -158,13 +174,45 @@ def score_pairs(pairs: DataFrame, a: str, b: str, score: str = "cos_sim") -> Col
 
 
 def binary_search(queries: DataFrame, corpus: DataFrame, k: int, binary_k: int = 1000, threshold: float = 0.0) -> DataFrame:
-    """Two stages (V10): the binary_k nearest by Hamming distance of sign bits, then those by the
-    inner product of the query with the document's signs."""
-    q = queries.select("qid", V.doubles("embedding").alias("q"), V.bits(V.doubles("embedding"), threshold).alias("qb"))
-    c = corpus.select("doc_id", V.bits(V.doubles("embedding"), threshold).alias("cb"), F.transform(V.doubles("embedding"), lambda x: F.when(x > threshold, 1.0).otherwise(-1.0)).alias("sign"))
-    near = q.join(c, F.col("qid") != F.col("doc_id")).select("qid", "doc_id", "q", "sign", (-V.hamming(F.col("qb"), F.col("cb"))).alias("score"))
-    first = ranked(near, binary_k)
-    return ranked(first.select("qid", "doc_id", F.round(V.dot(F.col("q"), F.col("sign")), SCALE).alias("score")), k)
+    """Two stages (V10): the binary_k nearest by Hamming distance of sign bits, then those by the inner product of
+    the query with the document's signs. The inner product of two sign vectors is their length less twice the distance,
+    so the first stage is a search in blocks like any other."""
+    signs = lambda df: df.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: F.when(x > threshold, 1.0).otherwise(-1.0)))
+    run = exact_search(signs(queries), signs(corpus), binary_k, "dot", exclude_self=True)
+    return rerank_own(run, queries, signs(corpus), binary_k, V.dot).where(F.col("rank") <= k)
+
+
+def _spread_kernel(sent, alpha: float, t: float):
+    def run(batches):
+        ids, q, labels = sent.value
+        for x, docs, batch in _tiles(batches, q):
+            mark = np.array(batch.column("label").to_pylist(), object)
+            for at in range(0, len(ids), QUERY_TILE):
+                d = -_scores(x, q[at : at + QUERY_TILE], "euclidean")
+                other = docs[:, None] != ids[None, at : at + QUERY_TILE]
+                near = other & (mark[:, None] == labels[None, at : at + QUERY_TILE])
+                sums = (float((d[near] ** alpha).sum()), int(near.sum()), float(np.exp(-t * d[other] ** 2).sum()), int(other.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], ["a", "na", "u", "nu"])
+
+    return run
+
+
+def alignment_uniformity(queries: DataFrame, corpus: DataFrame, alpha: float = 2.0, t: float = 2.0) -> DataFrame:
+    """Mean distance^alpha of pairs of equal label, and ln mean exp(-t d^2) of all pairs, over the pairs of a query with another
+    row of the corpus (A35). Blocks of queries meet batches of the corpus; only sums leave a task."""
+    spark = corpus.sparkSession
+    ship(spark)
+    rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), V.doubles("embedding").alias("e"), "label")
+    labels = queries.select(F.col("qid").cast("bigint").alias("qid"), "label")
+    sums = None
+    for ids, vectors in _query_blocks(queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")):
+        known = {r["qid"]: r["label"] for r in labels.join(spark.createDataFrame([(int(i),) for i in ids], "qid bigint"), "qid").collect()}
+        sent = spark.sparkContext.broadcast((ids, vectors, np.array([known[i] for i in ids.tolist()], object)))
+        part = rows.mapInArrow(_spread_kernel(sent, alpha, t), "a double, na bigint, u double, nu bigint")
+        sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        sums = spark.createDataFrame([], "a double, na bigint, u double, nu bigint")
+    return sums.agg((F.sum("a") / F.nullif(F.sum("na"), F.lit(0))).alias("alignment"), F.ln(F.sum("u") / F.nullif(F.sum("nu"), F.lit(0))).alias("uniformity"))
 
 
 def mips(vectors: DataFrame) -> DataFrame:
