@@ -32,8 +32,8 @@ KEY = "substr(array_to_string(list_filter(list_transform(string_split(text, chr(
 
 
 def j10(s, d):
-    f = lambda n: docs(s, d).select(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias("id"), "text", F.concat(F.lit(n), F.substring("text", 1, 5)).alias("output"))
-    return D.merge_outputs({"p0": f("a"), "p1": f("b"), "p2": f("c").where("length(text) > 300")}).select("id", "suffix", F.map_values("outputs")[0].alias("o0"), F.map_values("outputs")[2].alias("o2"))
+    f = lambda n: docs(s, d).select(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias("id"), "text", F.concat(F.lit(n), "text").alias("output"))
+    return D.merge_outputs({"p0": f("a"), "p1": f("b"), "p2": f("c").where("length(text) > 300")}).select("id", "suffix", F.md5(F.map_values("outputs")[0]).alias("o0"), F.md5(F.map_values("outputs")[2]).alias("o2"))
 
 
 def j11(s, d):
@@ -48,29 +48,33 @@ def d7(s, d):
 
 
 def a40(s, d):
-    return D.overlap_counts(docs(s, d).withColumn("a", F.slice(W("text"), 1, 40)).withColumn("b", F.slice(W("text"), 20, 40)), F.col("a"), F.col("b"), ["de", "the"]).select("doc_id", "n_overlap", "n_union")
+    return D.overlap_counts(docs(s, d).withColumn("a", W("text")).withColumn("b", W(F.lower("text"))), F.col("a"), F.col("b"), ["de", "the"]).select("doc_id", "n_overlap", "n_union")
 
 
 # --- joins -------------------------------------------------------------------------------------
 def judged(s, d):
-    """Judgements: documents that hold an item's first 60 characters."""
-    b = bench(s, d).select("qid", F.substring("text", 1, 60).alias("head"))
-    return docs(s, d).join(F.broadcast(b), F.contains("text", "head")).select("qid", "doc_id", F.lit(1).alias("rel"))
+    """Judgements: documents that hold an item's first eight words in a row. Windows meet by hash, then word by word."""
+    items = bench(s, d).select("qid", F.slice(W("text"), 1, 8).alias("head")).where("size(head) = 8").withColumn("h", F.xxhash64("head"))
+    tokens = docs(s, d).select("doc_id", W("text").alias("w"))
+    windows = tokens.where("size(w) >= 8").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, F.lit(8))))).alias("h"))
+    pairs = windows.join(items, "h").select("qid", "doc_id", "head").distinct()
+    inside = F.exists(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.slice("w", i, F.lit(8)) == F.col("head"))
+    return pairs.join(tokens, "doc_id").where(inside).select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
-JUDGED = "qr as (select item_id as qid, doc_id, 1 as rel from documents d, benchmark b where contains(d.text, substr(b.text, 1, 60)))"
+JUDGED = f"jd as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from (select doc_id, {words_sql('text')} as w from documents) where len(w) >= 8), jb as (select item_id as qid, {words_sql('text')}[1:8] as head from benchmark), qr as (select distinct qid, doc_id, 1 as rel from jd join jb on w[i : i + 7] = head and len(head) = 8)"
 
 
 # --- sampling ----------------------------------------------------------------------------------
 def g(name_fn):
     def q(s, d):
-        x = docs(s, d).withColumn("w", F.slice(W("text"), 1, 100))
+        x = docs(s, d).withColumn("w", W("text"))
         return x.select("doc_id", F.array_join(name_fn(F.col("w"), F.col("doc_id")), " ").alias("out"))
 
     return q
 
 
-W100 = f"w as (select doc_id, {words_sql('text')}[1:100] as w from documents)"
+ALL = f"w as (select doc_id, {words_sql('text')} as w from documents)"
 
 
 def u(seed, *parts):
@@ -142,7 +146,7 @@ def g10(s, d):
 # --- negatives ---------------------------------------------------------------------------------
 def dense_run(s, d):
     q, c = split(s, d)
-    return q, c, S.exact_search(q, c, 10, "cos_sim"), qrels(q, c)
+    return q, c, S.exact_search(q, c, 10, "cos_sim", exclude_self=True), qrels(q, c)
 
 
 def v18(exclude):
@@ -213,20 +217,17 @@ select round(max(acc), 6) as accuracy, round(first(th order by acc desc, i), 6)
 
 
 def rerank_rows(s, d):
-    """Per query two sub-queries (its vector and the next one's), five positives and ten negatives by hash."""
+    """Per query two sub-queries (its vector and the next one's) and its fifteen nearest by Manhattan distance as candidates."""
     q, c = split(s, d)
-    pool = q.select(F.col("qid").alias("sample_id"), F.col("label").alias("ql")).join(c.select(F.col("doc_id").alias("cand_id"), "label"))
-    pool = pool.withColumn("relevant", (F.col("ql") == F.col("label")).cast("int")).withColumn("u", uniform(21, F.col("sample_id"), F.col("cand_id")))
-    r = F.row_number().over(Window.partitionBy("sample_id", "relevant").orderBy("u", "cand_id"))
-    pool = pool.withColumn("r", r).where("(relevant = 1 and r <= 5) or (relevant = 0 and r <= 10)").select("sample_id", "cand_id", "relevant")
+    near = S.exact_search(q, c, 15, "manhattan", exclude_self=True).join(q.select("qid", F.col("label").alias("ql")), "qid").join(c.select("doc_id", "label"), "doc_id")
+    pool = near.select(F.col("qid").alias("sample_id"), F.col("doc_id").alias("cand_id"), (F.col("ql") == F.col("label")).cast("int").alias("relevant"))
     e = emb(s, d).select(F.col("vec_id").alias("v"), F.col("embedding"))
     sub = q.select(F.col("qid").alias("sample_id"), F.explode(F.array(F.col("qid"), F.col("qid") + 1)).alias("v")).join(e, "v").select("sample_id", F.col("v").alias("subquery_id"), F.col("embedding").alias("a"))
     cand = e.select(F.col("v").alias("cand_id"), F.col("embedding").alias("b"))
     return pool.join(sub, "sample_id").join(cand, "cand_id").select("sample_id", "subquery_id", "cand_id", "relevant", F.round(V.dot(V.doubles("a"), V.doubles("b")), 9).alias("score"))
 
 
-RR = f"""{Q}, pool as (select q.qid as sample_id, c.doc_id as cand_id, (q.label = c.label)::int as relevant, {u(21, 'q.qid', 'c.doc_id')} as u from q, c),
-pk as (select * from (select *, row_number() over (partition by sample_id, relevant order by u, cand_id) as r from pool) where r <= case when relevant = 1 then 5 else 10 end),
+RR = f"""{sql_run('-list_sum(list_transform(range(1, 65), lambda i: abs(q.e[i] - c.e[i])))', k=15)}, pk as (select run.qid as sample_id, run.doc_id as cand_id, (q.label = c.label)::int as relevant from run join q using (qid) join c using (doc_id)),
 sc as (select pk.sample_id, e1.vec_id as subquery_id, pk.cand_id, relevant, round(list_inner_product(e1.embedding::double[], e2.embedding::double[]), 9) as score from pk join embeddings e1 on e1.vec_id in (pk.sample_id, pk.sample_id + 1) join embeddings e2 on e2.vec_id = pk.cand_id)"""
 
 
@@ -237,7 +238,7 @@ def a26(s, d):
 
 def a27(s, d):
     q, c = split(s, d)
-    one = S.exact_search(q, c, 1, "cos_sim").join(q.select("qid", F.col("label").alias("gold")), "qid").join(c.select("doc_id", F.col("label").alias("predicted")), "doc_id")
+    one = S.exact_search(q, c, 1, "cos_sim", exclude_self=True).join(q.select("qid", F.col("label").alias("gold")), "qid").join(c.select("doc_id", F.col("label").alias("predicted")), "doc_id")
     return _num(P.weighted_prf(one))
 
 
@@ -269,7 +270,7 @@ QUERIES = {
     "D5_title_dedup": lambda s, d: D.title_dedup(docs(s, d)).select("first_seq", "doc_id"),
     "D1_union_repeat": lambda s, d: D.repeated(docs(s, d).select("doc_id").unionByName(t(s, d, "pages").select(F.col("page_id").alias("doc_id"))), 3),
     "D2_union_distinct": lambda s, d: docs(s, d).select(F.md5("text").alias("key")).union(t(s, d, "benchmark").select(F.md5("text"))).distinct(),
-    "D3_array_sets": lambda s, d: docs(s, d).select("doc_id", *(F.size(f(F.slice(W("text"), 1, 30), F.slice(W("text"), 15, 30))).cast("bigint").alias(n) for n, f in (("both", F.array_intersect), ("either", F.array_union), ("first_only", F.array_except)))),
+    "D3_array_sets": lambda s, d: docs(s, d).select("doc_id", *(F.size(f(W("text"), W(F.lower("text")))).cast("bigint").alias(n) for n, f in (("both", F.array_intersect), ("either", F.array_union), ("first_only", F.array_except)))),
     "D6_distinct_phrases": lambda s, d: docs(s, d).select("doc_id", F.size(F.array_distinct(W("text"))).cast("bigint").alias("n")),
     "D7_generated_queries": d7,
     "J10_merge_by_suffix": j10,
@@ -297,7 +298,7 @@ QUERIES = {
     "G2_word_delete": g(lambda w, k: G.word_replace(w, 3, k, 0.2)),
     "G2_word_mask": g(lambda w, k: G.word_replace(w, 3, k, 0.2, mask=True)),
     "G3_replace_ids": g(lambda w, k: F.transform(G.replace_ids(F.transform(w, lambda x: F.length(x).cast("bigint")), 4, k, 0.3, 1000), lambda x: x.cast("string"))),
-    "G3_shuffle_some": g(lambda w, k: G.shuffle_some(F.slice(w, 1, 20), 6, k, 0.5)),
+    "G3_shuffle_some": g(lambda w, k: G.shuffle_some(w, 6, k, 0.5)),
     "G4_chunks": g4,
     "G5_G6_G7_pair_builder": g5,
     "G8_dpr_pairs": lambda s, d: B.dpr_pairs(dpr_records(s, d)).select("question_id", F.md5("query").alias("query"), F.md5("doc").alias("doc")),
@@ -326,11 +327,14 @@ QUERIES = {
     "A26_summarization": a26,
     "A27_V16_bitext": a27,
     "A28_v_measure": a28,
-    "A28_kmeans_clustering": lambda s, d: E.clustering_quality(emb(s, d), 0.0),
+    "A28_kmeans_clustering": lambda s, d: _num(E.clustering_quality(emb(s, d))),
+    "A28_lloyd_rounds": lambda s, d: _num(P.v_measure(E.lloyd(emb(s, d), 2))),
     "A29_knn_cosine": a29("cos_sim"),
     "A29_knn_euclidean": a29("euclidean"),
     "A30_logistic_regression": lambda s, d: E.logistic_experiments(emb(s, d), 2, 8),
-    "A31_cross_validation": lambda s, d: E.cross_validated(emb(s, d)),
+    "A31_nested_folds": lambda s, d: E.nested_folds(emb(s, d)),
+    "A31_folds_and_test": lambda s, d: E.folds_and_test(emb(s, d).where("vec_id % 4 <> 0"), emb(s, d).where("vec_id % 4 = 0")),
+    "A31_split_test": lambda s, d: E.split_test(*(emb(s, d).where(F.pmod("vec_id", F.lit(4)).isin(*k)) for k in ((1, 2), (3,), (0,)))),
     "A33_relatedness": lambda s, d: E.relatedness(emb(s, d)),
     "P9_task_filter": lambda s, d: E.task_filter(s, types=["STS"], langs=["fr"]),
 }
@@ -340,21 +344,28 @@ def mask_sql(seed, ratio):
     return f"list_transform(range(1, len(w) + 1), lambda i: case when {u(seed, 'doc_id', 'i - 1')} < {ratio} then '[MASK]' else w[i] end)"
 
 
+V_MEASURE = """n as (select count(*)::double as n from x), hl as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l), n), hc as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by c), n), hb as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l, c), n), r as (select 1 - (hb.h - hc.h) / hl.h as hom, 1 - (hb.h - hl.h) / hc.h as com from hl, hc, hb) select round(hom, 6) as homogeneity, round(com, 6) as completeness, round(2 * hom * com / (hom + com), 6) as v_measure from r"""
+#: One round from the first vector of each label, means, and the assignment to them.
+LLOYD = f"""with e as (select vec_id, label, embedding::double[] as e from embeddings), c0 as (select label as c, arg_min(e, vec_id) as m from e group by 1),
+d0 as (select vec_id, label, e, c, row_number() over (partition by vec_id order by round(-sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - m[i]) * (e[i] - m[i])))), 9) desc, c) as r from e, c0),
+u as (select c, i, avg(e[i]) as x from d0, range(1, 65) g(i) where r = 1 group by c, i), c1 as (select c, list(x order by i) as m from u group by c),
+d1 as (select vec_id, label, c1.c, row_number() over (partition by vec_id order by round(-sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - m[i]) * (e[i] - m[i])))), 9) desc, c1.c) as r from e, c1),
+x as (select label as l, c from d1 where r = 1), {V_MEASURE}"""
 SQL = {
     "D4_keyed_dedup": f"with k as (select doc_id, text, {KEY.format(n=3, c=200)} as k from documents where trim(translate(text, chr(10) || chr(9) || chr(13), '   ')) <> '') select min(doc_id) as first_seq, max(doc_id) as doc_id, md5(max_by(text, doc_id)) as text from k group by k",
     "D5_title_dedup": f"with k as (select doc_id, {KEY.format(n=1, c=1 << 30)} as k from documents where trim(translate(text, chr(10) || chr(9) || chr(13), '   ')) <> '') select min(doc_id) as first_seq, max(doc_id) as doc_id from k group by k",
     "D1_union_repeat": "select doc_id, copy from (select doc_id from documents union all select page_id from pages), range(3) r(copy)",
     "D2_union_distinct": "select md5(text) as key from documents union select md5(text) from benchmark",
-    "D3_array_sets": f"with w as (select doc_id, {words_sql('text')} as w from documents), x as (select doc_id, list_distinct(w[1:30]) as a, list_distinct(w[15:44]) as b from w) select doc_id, cast(len(list_intersect(a, b)) as bigint) as both, cast(len(list_distinct(list_concat(a, b))) as bigint) as either, cast(len(a) - len(list_intersect(a, b)) as bigint) as first_only from x",
+    "D3_array_sets": f"with w as (select doc_id, {words_sql('text')} as w from documents), x as (select doc_id, list_distinct(w) as a, list_distinct(list_transform(w, lambda x: lower(x))) as b from w) select doc_id, cast(len(list_intersect(a, b)) as bigint) as both, cast(len(list_distinct(list_concat(a, b))) as bigint) as either, cast(len(a) - len(list_intersect(a, b)) as bigint) as first_only from x",
     "D6_distinct_phrases": f"select doc_id, cast(len(list_distinct({words_sql('text')})) as bigint) as n from documents",
     "D7_generated_queries": "with g as (select distinct doc_id % 50 as doc_id, trim(unnest([array_to_string(string_split(text, ' ')[1:3], ' '), array_to_string(string_split(text, ' ')[1:2], ' ')])) as query from documents) select 'genQ' || row_number() over (order by doc_id, query) as qid, doc_id, query, 1::bigint as rel from g where query <> ''",
-    "J10_merge_by_suffix": "select 'a-' || doc_id as id, doc_id::varchar as suffix, 'a' || substr(text, 1, 5) as o0, 'c' || substr(text, 1, 5) as o2 from documents where length(text) > 300",
+    "J10_merge_by_suffix": "select 'a-' || doc_id as id, doc_id::varchar as suffix, md5('a' || text) as o0, md5('c' || text) as o2 from documents where length(text) > 300",
     "J11_merge_by_text": "with a as (select text, max(source) as a from documents where doc_id % 2 = 0 group by 1), b as (select text, max(lang) as b from documents where doc_id % 3 = 0 group by 1) select md5(text) as key, a, b from a full join b using (text)",
     "A37_subset_histogram": "select source, count(*) as n from documents group by 1",
     "A37_length_histogram": f"select cast(len({words_sql('text')}) // 100 * 100 as bigint) as bucket, count(*) as n from documents group by 1",
     "A38_describe": "with x as (select length(text)::double as x from documents), m as (select count(*) as n, min(x) as lo, max(x) as hi, avg(x) as m, var_samp(x) as v, var_pop(x) as vp from x) select any_value(n) as n, any_value(lo) as min, any_value(hi) as max, round(any_value(m), 6) as mean, round(any_value(v), 6) as variance, round(avg(pow(x - m, 3)) / pow(any_value(vp), 1.5), 6) as skewness, round(avg(pow(x - m, 4)) / pow(any_value(vp), 2) - 3, 6) as kurtosis from x, m",
     "A39_weighted_average": "select lang, round(sum(doc_id * length(text)) / sum(length(text)), 6) as average from documents group by 1",
-    "A40_overlap_counts": f"with w as (select doc_id, {words_sql('text')} as w from documents), x as (select doc_id, list_filter(list_distinct(w[1:40]), lambda x: x not in ('de', 'the')) as a, list_filter(list_distinct(w[20:59]), lambda x: x not in ('de', 'the')) as b from w) select doc_id, cast(len(list_intersect(a, b)) as bigint) as n_overlap, cast(len(list_distinct(list_concat(a, b))) as bigint) as n_union from x",
+    "A40_overlap_counts": f"with w as (select doc_id, {words_sql('text')} as w from documents), x as (select doc_id, list_filter(list_distinct(w), lambda x: x not in ('de', 'the')) as a, list_filter(list_distinct(list_transform(w, lambda x: lower(x))), lambda x: x not in ('de', 'the')) as b from w) select doc_id, cast(len(list_intersect(a, b)) as bigint) as n_overlap, cast(len(list_distinct(list_concat(a, b))) as bigint) as n_union from x",
     "A41_mean_of_batches": "select round(avg(m), 6) as mean from (select avg(length(text)) as m from documents group by doc_id // 32)",
     "J1_J13_pairs": f"with {JUDGED} select qid, doc_id, md5(b.text) as query, md5(d.text) as doc from qr join benchmark b on b.item_id = qid join documents d using (doc_id)",
     "J3_J4_judged_queries": f"with {JUDGED} select item_id as qid, md5(text) as text from benchmark where item_id in (select qid from qr)",
@@ -368,12 +379,12 @@ SQL = {
     "P14_min_max": "select doc_id, round((quality + toxic) / 2.0, 6) as score from labels",
     "P15_zero_based": "select doc_id as index from documents",
     "V17_by_length": "select doc_id, row_number() over (partition by source order by length(text) desc, doc_id) as place from documents",
-    "G1_crop": f"with {W100} select doc_id, array_to_string({crop_sql('w', 1, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')}, ' ') as out from w",
-    "G1_crop_to_maxlen": f"with {W100} select doc_id, array_to_string(case when len(w) <= 60 then w else {crop_sql('w', 2, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(60, 60)')} end, ' ') as out from w",
-    "G2_word_delete": f"with {W100} select doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: {u(3, 'doc_id', 'i - 1')} >= 0.2), lambda i: w[i]), ' '), '') as out from w",
-    "G2_word_mask": f"with {W100} select doc_id, array_to_string({mask_sql(3, 0.2)}, ' ') as out from w",
-    "G3_replace_ids": f"with {W100} select doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: (case when {u(4, 'doc_id', 'i - 1')} < 0.3 then cast(floor({u(5, 'doc_id', 'i - 1')} * 1000) as bigint) else length(w[i]) end)::varchar), ' ') as out from w",
-    "G3_shuffle_some": f"""with {W100}, x as (select doc_id, i - 1 as i, w[i] as t, {u(6, 'doc_id', 'i - 1')} as c, {u(7, 'doc_id', 'i - 1')} as o from w, range(1, 21) r(i) where i <= len(w)),
+    "G1_crop": f"with {ALL} select doc_id, array_to_string({crop_sql('w', 1, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(ceil(# * 0.5)::bigint, 64)')}, ' ') as out from w",
+    "G1_crop_to_maxlen": f"with {ALL} select doc_id, array_to_string(case when len(w) <= 60 then w else {crop_sql('w', 2, 'doc_id', 'greatest(ceil(# * 0.05)::bigint, 4)', 'least(60, 60)')} end, ' ') as out from w",
+    "G2_word_delete": f"with {ALL} select doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: {u(3, 'doc_id', 'i - 1')} >= 0.2), lambda i: w[i]), ' '), '') as out from w",
+    "G2_word_mask": f"with {ALL} select doc_id, array_to_string({mask_sql(3, 0.2)}, ' ') as out from w",
+    "G3_replace_ids": f"with {ALL} select doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: (case when {u(4, 'doc_id', 'i - 1')} < 0.3 then cast(floor({u(5, 'doc_id', 'i - 1')} * 1000) as bigint) else length(w[i]) end)::varchar), ' ') as out from w",
+    "G3_shuffle_some": f"""with {ALL}, x as (select doc_id, i - 1 as i, w[i] as t, {u(6, 'doc_id', 'i - 1')} as c, {u(7, 'doc_id', 'i - 1')} as o from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w)),
 p as (select *, row_number() over (partition by doc_id order by i) as k from x where c < 0.5), s as (select doc_id, t, row_number() over (partition by doc_id order by o, i) as k from x where c < 0.5),
 f as (select x.doc_id, x.i, coalesce(s.t, x.t) as t from x left join p on p.doc_id = x.doc_id and p.i = x.i left join s on s.doc_id = p.doc_id and s.k = p.k) select doc_id, string_agg(t, ' ' order by i) as out from f group by doc_id""",
     "G4_chunks": f"with w as (select doc_id, {words_sql('text')} as w from documents), o as (select doc_id, w, case when len(w) >= 100 then cast(floor({u(5, 'doc_id')} * 50) as bigint) else 0 end as o from w where len(w) > 0), c as (select doc_id, w, o, unnest(range(0, greatest(1, (len(w) - o) // 50))) as chunk from o) select doc_id, chunk, md5(array_to_string(w[o + chunk * 50 + 1 : o + chunk * 50 + 50], ' ')) as tokens from c",
@@ -386,7 +397,7 @@ f as (select x.doc_id, x.i, coalesce(s.t, x.t) as t from x left join p on p.doc_
     "G13b_tiled": "with x as (select doc_id, row_number() over (order by doc_id) - 1 as pos, count(*) over () as n from documents where lang = 'de') select step, doc_id from range(300) r(step), x where pos = step % n",
     "G13c_W9_weighted_interleave": f"with {LANGS}, p as (select step, {u(3, 'step')} as u from range(500) r(step)), s as (select step, case when u < 0.4 then 0 when u < 0.7 then 1 when u < 0.4 + 0.3 + 0.2 then 2 else 3 end as source from p), w as (select *, row_number() over (partition by source order by step) - 1 as k from s), n as (select src as source, count(*) as n from ix group by 1) select step, w.source, doc_id from w join n using (source) join ix on ix.src = w.source and ix.pos = k % n",
     "G14_smoothed_shares": "with n as (select source, count(*) as n from documents group by 1) select source, n, round(sqrt(n) / sum(sqrt(n)) over (), 6) as p from n",
-    "G16_mlm_mask": f"with {W100} select doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: case when {u(31, 'doc_id', 'i - 1')} >= 0.15 then w[i] when {u(32, 'doc_id', 'i - 1')} < 0.8 then '[MASK]' when {u(32, 'doc_id', 'i - 1')} < 0.9 then ['aa', 'bb', 'cc'][1 + cast(floor({u(33, 'doc_id', 'i - 1')} * 3) as bigint)] else w[i] end), ' ') as out from w",
+    "G16_mlm_mask": f"with {ALL} select doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: case when {u(31, 'doc_id', 'i - 1')} >= 0.15 then w[i] when {u(32, 'doc_id', 'i - 1')} < 0.8 then '[MASK]' when {u(32, 'doc_id', 'i - 1')} < 0.9 then ['aa', 'bb', 'cc'][1 + cast(floor({u(33, 'doc_id', 'i - 1')} * 3) as bigint)] else w[i] end), ' ') as out from w",
     "G17_mixing": f"select doc_id, case when {u(5, 'doc_id')} < 0.3 then 'a' else 'b' end as picked from documents",
     "G18_W8_undersample": f"select vec_id, label from (select *, row_number() over (partition by label order by {u(17, 'vec_id')}, vec_id) as r from embeddings) where r <= 8",
     "G18_rank_stride": f"select doc_id, p as position, p % 4 as rank from (select doc_id, row_number() over (order by {u(19, 'doc_id')}, doc_id) - 1 as p from documents)",
@@ -402,7 +413,7 @@ f as (select x.doc_id, x.i, coalesce(s.t, x.t) as t from x left join p on p.doc_
     "A25_reranking": f"with {RR}, b as (select sample_id, cand_id, max(score) as score, max(relevant) as rel from sc group by 1, 2), k as (select *, row_number() over (partition by sample_id order by score desc, cand_id) as r from b), h as (select *, sum(rel) over (partition by sample_id order by r) as h from k), p as (select sample_id, avg(h / r) filter (where rel = 1) as ap, min(r) filter (where rel = 1) as f from h group by 1) select round(avg(ap), 6) as map, round(avg(case when f <= 10 then 1.0 / f else 0 end), 6) as mrr from p",
     "A26_summarization": f"with {RR}, x as (select sample_id as g, cand_id, max(score) as a, max(cand_id % 7 + relevant)::double as b from sc group by 1, 2), rr as (select *, rank() over (partition by g order by a) + (count(*) over (partition by g, a) - 1) / 2.0 as ra, rank() over (partition by g order by b) + (count(*) over (partition by g, b) - 1) / 2.0 as rb from x), co as (select g, corr(a, b) as p, corr(ra, rb) as s from rr group by g having min(b) < max(b)) select round(avg(p), 6) as pearson, round(avg(s), 6) as spearman, count(*) as n_texts from co",
     "A27_V16_bitext": f"with {sql_run(k=1)}, m as (select q.label as gold, c.label as pred from run join q using (qid) join c using (doc_id)), g as (select gold as l, count(*) as ng, count(*) filter (where gold = pred) as tp from m group by 1), p as (select pred as l, count(*) as np from m group by 1), v as (select ng, tp, coalesce(tp / np, 0) as p, tp / ng as r from g left join p using (l)), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from v) select round(sum(p * ng) / sum(ng), 6) as precision, round(sum(r * ng) / sum(ng), 6) as recall, round(sum(f * ng) / sum(ng), 6) as f1, round(sum(tp) / sum(ng), 6) as accuracy, round(avg(f), 6) as macro_f1 from f",
-    "A28_v_measure": "with x as (select label as l, (vec_id * 7 + label) % 6 as c from embeddings), n as (select count(*)::double as n from x), hl as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l), n), hc as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by c), n), hb as (select -sum(k / n * ln(k / n)) as h from (select count(*) as k from x group by l, c), n), r as (select 1 - (hb.h - hc.h) / hl.h as hom, 1 - (hb.h - hl.h) / hc.h as com from hl, hc, hb) select round(hom, 6) as homogeneity, round(com, 6) as completeness, round(2 * hom * com / (hom + com), 6) as v_measure from r",
+    "A28_v_measure": f"with x as (select label as l, (vec_id * 7 + label) % 6 as c from embeddings), {V_MEASURE}",
     "A29_knn_cosine": knn_sql(COS),
     "A29_knn_euclidean": knn_sql("-sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"),
     "G5_G6_G7_pair_builder": f"""with w as (select doc_id, text, {words_sql('text')} as w from documents),
@@ -414,5 +425,6 @@ p as (select *, (coalesce(length(ti), 0) > 0)::int as a, {u(7, 'doc_id')} * ((co
 select doc_id as id, md5(array_to_string(x, ' ')) as context, case when pt < a then 'title' when pt < a + 1 then 'phrase' else 'crop' end as query_type,
 case when pt < a then ti when pt < a + 1 then ph else array_to_string(cq, ' ') end as query,
 md5(coalesce(array_to_string(list_transform(list_filter(range(1, len(dc) + 1), lambda i: {u(9, 'doc_id', 'i - 1')} >= 0.1), lambda i: dc[i]), ' '), '')) as doc from p""",
-    "P9_task_filter": "select * from (values ('STS17', 'STS', 'cosine_spearman'), ('STS22', 'STS', 'cosine_spearman')) t(name, type, main_score)",
+    "P9_task_filter": "select * from (values ('STS22', 'STS', 'cosine_spearman')) t(name, type, main_score)",
+    "A28_lloyd_rounds": LLOYD,
 }

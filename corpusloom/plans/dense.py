@@ -1,5 +1,5 @@
-"""Dense search and ranking metrics over ``embeddings``: vec_id % 25 = 0 are queries, the rest the corpus,
-equal labels are relevant (even ids with grade 2)."""
+"""Dense search and ranking metrics over ``embeddings``: rows whose vec_id is divisible by 100 are queries against all
+rows but themselves, equal labels are relevant (even ids with grade 2)."""
 
 from __future__ import annotations
 
@@ -20,16 +20,16 @@ def emb(spark, d):
 
 def split(spark, d):
     e = emb(spark, d)
-    return e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "qid"), e.where("vec_id % 25 <> 0").withColumnRenamed("vec_id", "doc_id")
+    return e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "doc_id")
 
 
 def qrels(q, c):
-    return q.select("qid", "label").join(c.select("doc_id", "label"), "label").select("qid", "doc_id", (F.lit(1) + (F.col("doc_id") % 2 == 0).cast("int")).alias("rel"))
+    return q.select("qid", "label").join(c.select("doc_id", "label"), "label").where("qid <> doc_id").select("qid", "doc_id", (F.lit(1) + (F.col("doc_id") % 2 == 0).cast("int")).alias("rel"))
 
 
 def run_of(spark, d, k=10, score="cos_sim"):
     q, c = split(spark, d)
-    return S.exact_search(q, c, k, score), qrels(q, c)
+    return S.exact_search(q, c, k, score, exclude_self=True), qrels(q, c)
 
 
 def _rounded(df, digits=6):
@@ -37,15 +37,15 @@ def _rounded(df, digits=6):
 
 
 Q = """
-q as (select vec_id as qid, embedding::double[] as e, label from embeddings where vec_id % 25 = 0),
-c as (select vec_id as doc_id, embedding::double[] as e, label from embeddings where vec_id % 25 <> 0),
-qr as (select qid, doc_id, 1 + (doc_id % 2 = 0)::int as rel from q join c on q.label = c.label)"""
+q as (select vec_id as qid, embedding::double[] as e, label from embeddings where vec_id % 100 = 0),
+c as (select vec_id as doc_id, embedding::double[] as e, label from embeddings),
+qr as (select qid, doc_id, 1 + (doc_id % 2 = 0)::int as rel from q join c on q.label = c.label and qid <> doc_id)"""
 COS = "list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e)))"
 
 
 def sql_run(score=COS, k=10, where="true"):
     return f"""{Q},
-s as (select qid, doc_id, round({score}, 9) as score from q, c where {where}),
+s as (select qid, doc_id, round({score}, 9) as score from q, c where q.qid <> c.doc_id and {where}),
 run as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= {k}),
 j as (select run.*, coalesce(qr.rel, 0) as rel from run left join qr using (qid, doc_id))"""
 
@@ -112,13 +112,12 @@ SCORE_SQL = {
 
 def v2(spark, d):
     q, c = split(spark, d)
-    every = c.unionByName(q.withColumnRenamed("qid", "doc_id"))
-    return _rounded(S.exact_search(q, every, 5, "cos_sim", exclude_self=True).select("qid", "doc_id", "score", "rank"))
+    return _rounded(S.exact_search(q, c, 5, "cos_sim", exclude_self=True).select("qid", "doc_id", "score", "rank"))
 
 
 def p7(spark, d):
     q, c = split(spark, d)
-    return _rounded(S.exact_search(q, c, 5, "cos_sim", threshold=0.3).select("qid", "doc_id", "score", "rank"))
+    return _rounded(S.exact_search(q, c, 5, "cos_sim", exclude_self=True, threshold=0.3).select("qid", "doc_id", "score", "rank"))
 
 
 def v7(spark, d):
@@ -128,7 +127,7 @@ def v7(spark, d):
 
 def v8(spark, d):
     q, c = split(spark, d)
-    return _rounded(S.exact_search(q, S.half_precision(c), 10, "dot").select("qid", "doc_id", "score", "rank"))
+    return _rounded(S.exact_search(q, S.half_precision(c), 10, "dot", exclude_self=True).select("qid", "doc_id", "score", "rank"))
 
 
 def v10(spark, d):
@@ -136,8 +135,7 @@ def v10(spark, d):
     return _rounded(S.binary_search(q, c, 10, 50).select("qid", "doc_id", "score", "rank"))
 
 
-#: Share of the exact first ten that an index has to find, and the indexes.
-LEAST_RECALL = 0.9
+#: The approximate indexes; the tests hold them to 0.9 of the exact first ten.
 INDEXES = {
     "V6_pq_recall": lambda q, c: S.pq_search(q, c, 10),
     "V9_pca_recall": lambda q, c: S.pca_search(q, c, 10, 56),
@@ -148,34 +146,43 @@ INDEXES = {
 def measured_recall(approx, spark, d):
     """One row: the share of the exact first ten that the approximate search finds."""
     qs, c = split(spark, d)
-    exact = S.exact_search(qs, c, 10, "dot").select("qid", "doc_id")
+    exact = S.exact_search(qs, c, 10, "dot", exclude_self=True).select("qid", "doc_id")
     found = approx(qs, c).select("qid", "doc_id")
     n = exact.join(found.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left")
     return n.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
-def recall_against_exact(approx, least=LEAST_RECALL):
-    """One row: whether the approximate search finds at least that share of the exact first ten."""
-    return lambda spark, d: measured_recall(approx, spark, d).select((F.col("recall") >= least).alias("reached"))
+def recall_against_exact(approx):
+    """Per query how many of the exact first ten the approximate search finds."""
+
+    def q(spark, d):
+        qs, c = split(spark, d)
+        exact = S.exact_search(qs, c, 10, "dot", exclude_self=True).select("qid", "doc_id")
+        found = approx(qs, c).select("qid", "doc_id").withColumn("hit", F.lit(1))
+        return exact.join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.count("*").alias("wanted"))
+
+    return q
 
 
 def j8(spark, d):
     q, c = split(spark, d)
-    run = S.exact_search(q, c, 10, "cos_sim")
+    run = S.exact_search(q, c, 10, "cos_sim", exclude_self=True)
     return _rounded(S.rerank_pool(q, c, run, 3, 5).select("qid", "doc_id", "score", "rank"))
 
 
 def j9(spark, d):
     q, c = split(spark, d)
-    run = S.exact_search(q, c, 10, "cos_sim")
+    run = S.exact_search(q, c, 10, "cos_sim", exclude_self=True)
     return _rounded(S.rerank_own(run, q, c, 5, V.SCORES["manhattan"]).select("qid", "doc_id", "score", "rank"))
 
 
 def j16(spark, d):
-    e = emb(spark, d)
-    x = e.select("label", F.col("vec_id").alias("i"), V.doubles("embedding").alias("a")).where("i % 5 = 0")
-    y = e.select("label", F.col("vec_id").alias("j"), V.doubles("embedding").alias("b")).where("j % 5 = 0")
-    return x.join(y, "label").where("i <> j").groupBy("label").agg(F.round(F.avg(V.dot(F.col("a"), F.col("b"))), 6).alias("mean_negative"), F.count("*").alias("n"))
+    """Mean inner product of different vectors of a label: the square of their sum less the sum of their squares, over n (n - 1)."""
+    e = emb(spark, d).select("label", "vec_id", V.doubles("embedding").alias("e"))
+    sums = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    per = sums.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("all"), F.sum("own").alias("own"))
+    n = e.groupBy("label").agg((F.count("*") * (F.count("*") - 1)).alias("n")).where("n > 0")
+    return per.join(n, "label").select("label", F.round((F.col("all") - F.col("own")) / F.col("n"), 6).alias("mean_negative"), "n")
 
 
 def k10(spark, d):
@@ -218,7 +225,7 @@ def _own(q):
 
 def a34(spark, d):
     q, c = split(spark, d)
-    run = S.exact_search(q, c, 100, "cos_sim")
+    run = S.exact_search(q, c, 100, "cos_sim", exclude_self=True)
     return _rounded(P.caption_ranks(run, _own(q)))
 
 
@@ -229,11 +236,8 @@ def a34_whole(spark, d):
 
 
 def a35(spark, d):
-    e = emb(spark, d).where("vec_id % 10 = 0").withColumn("e", V.doubles("embedding"))
-    x = e.select(F.col("vec_id").alias("i"), F.col("e").alias("a"), F.col("label").alias("la"))
-    y = e.select(F.col("vec_id").alias("j"), F.col("e").alias("b"), F.col("label").alias("lb"))
-    p = x.join(F.broadcast(y), F.col("i") < F.col("j")).select(V.euclidean(F.col("a"), F.col("b")).alias("d"), (F.col("la") == F.col("lb")).alias("positive"))
-    return _rounded(P.alignment_uniformity(p))
+    q, c = split(spark, d)
+    return _rounded(S.alignment_uniformity(q, c))
 
 
 def f22(spark, d):
@@ -303,15 +307,12 @@ SQL = {
     "V3_euclidean_search": f"with {sql_run('-sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))')} {RUN_OUT}",
     "V3_manhattan_search": f"with {sql_run('-list_sum(list_transform(range(1, 65), lambda i: abs(q.e[i] - c.e[i])))')} {RUN_OUT}",
     **{f"V3_pair_{k}": f"with {PAIRS} select vec_id, la, lb, round({s}, 6) as score from p" for k, s in SCORE_SQL.items()},
-    "V2_self_excluded": f"with {sql_run(k=5, where='q.qid <> c.doc_id').replace('embeddings where vec_id % 25 <> 0', 'embeddings')} {RUN_OUT}",
+    "V2_self_excluded": f"with {sql_run(k=5, where='true')} {RUN_OUT}",
     "P7_threshold": f"with {sql_run(k=5, where=f'round({COS}, 9) >= 0.3')} {RUN_OUT}",
-    "V6_pq_recall": "select true as reached",
-    "V9_pca_recall": "select true as reached",
-    "V11_ivf_recall": "select true as reached",
     "V7_mips_extension": "with v as (select vec_id, list_transform(embedding::double[], lambda x: x * (vec_id % 7 + 1)) as e from embeddings), n as (select vec_id, list_inner_product(e, e) as n2 from v) select vec_id, round(sqrt(greatest((select max(n2) from n) - n2, 0)), 6) as extra from n",
     "V8_scalar_quantizer": f"with {sql_run('list_inner_product(q.e, list_transform(c.e, lambda x: round(x, 3)))')} {RUN_OUT}",
     "V10_binary_search": f"""with {Q},
-s1 as (select qid, doc_id, q.e as qe, c.e as ce, list_sum(list_transform(range(1, 65), lambda i: ((q.e[i] > 0) <> (c.e[i] > 0))::int)) as ham from q, c),
+s1 as (select qid, doc_id, q.e as qe, c.e as ce, list_sum(list_transform(range(1, 65), lambda i: ((q.e[i] > 0) <> (c.e[i] > 0))::int)) as ham from q, c where qid <> doc_id),
 n as (select * from (select *, row_number() over (partition by qid order by ham, doc_id) as r from s1) where r <= 50),
 s as (select qid, doc_id, round(list_sum(list_transform(range(1, 65), lambda i: case when ce[i] > 0 then qe[i] else -qe[i] end)), 9) as score from n),
 run as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= 10) {RUN_OUT}""",
@@ -319,7 +320,7 @@ run as (select * from (select *, row_number() over (partition by qid order by sc
 select qid, doc_id, round(score, 6) as score, cast(rk as bigint) as rank from r2 where rk <= 5""",
     "J9_rerank_own": f"""with {sql_run()}, s2 as (select qid, doc_id, round(-list_sum(list_transform(range(1, 65), lambda i: abs(q.e[i] - c.e[i]))), 9) as score from run join q using (qid) join c using (doc_id) where rank <= 5)
 select qid, doc_id, round(score, 6) as score, cast(row_number() over (partition by qid order by score desc, doc_id) as bigint) as rank from s2""",
-    "J16_pairwise_negatives": "with e as (select vec_id, label, embedding::double[] as e from embeddings where vec_id % 5 = 0) select a.label, round(avg(list_inner_product(a.e, b.e)), 6) as mean_negative, count(*) as n from e a join e b on a.label = b.label and a.vec_id <> b.vec_id group by a.label",
+    "J16_pairwise_negatives": "with e as (select vec_id, label, embedding::double[] as e from embeddings) select a.label, round(avg(list_inner_product(a.e, b.e)), 6) as mean_negative, count(*) as n from e a join e b on a.label = b.label and a.vec_id <> b.vec_id group by a.label",
     "K10_dense_ids": "select vec_id, row_number() over (order by vec_id) - 1 as index from (select distinct vec_id from embeddings)",
     "A1_A2_A3_trec_metrics": f"with {sql_run()}, {TREC} {OUT} trec",
     "A4_mrr": f"with {sql_run()}, {MRR} {OUT} mrr",
@@ -340,7 +341,7 @@ a as (select 'one' as dataset, metric, k, value from o where metric <> 'R_cap' u
 union all select 'sub', metric, k, (value + value / 4) / 2 from o where metric <> 'R_cap') select metric, cast(k as bigint) as k, round(avg(value), 6) as value, count(*) as n_datasets from a group by metric, k""",
     "A32_pair_features": f"with {PAIRS} select vec_id, cast(2 * len(a) as bigint) as n, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i]))) + list_inner_product(a, b), 6) as total from p",
     "A34_caption_ranks": f"with {sql_run(k=100)}, b as (select qid, min(rank) as r from run where doc_id - qid in (1, 2, 3) group by qid) select round(avg(case when r <= 1 then 100.0 else 0 end), 6) as r1, round(avg(case when r <= 5 then 100.0 else 0 end), 6) as r5, round(avg(case when r <= 10 then 100.0 else 0 end), 6) as r10, cast(floor(quantile_cont(r - 1, 0.5)) + 1 as bigint) as median_rank from b",
-    "A35_alignment_uniformity": "with e as (select vec_id, label, embedding::double[] as e from embeddings where vec_id % 10 = 0), p as (select sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) as d, a.label = b.label as pos from e a join e b on a.vec_id < b.vec_id) select round(avg(d * d) filter (where pos), 6) as alignment, round(ln(avg(exp(-2 * d * d))), 6) as uniformity from p",
+    "A35_alignment_uniformity": f"with {Q}, p as (select sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])))) as d, q.label = c.label as pos from q, c where qid <> doc_id) select round(avg(d * d) filter (where pos), 6) as alignment, round(ln(avg(exp(-2 * d * d))), 6) as uniformity from p",
     "A36_batch_diagnostics": """with e as (select vec_id, vec_id // 20 as batch, embedding::double[] as e from embeddings), s as (select a.batch, a.vec_id as i, b.vec_id - 1 as j, round(list_inner_product(a.e, b.e), 9) as s, sqrt(list_inner_product(a.e, a.e)) as na from e a join e b using (batch) where a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
 b as (select batch, i, first(j order by s desc, j) as best, avg(s) filter (where i = j) as pos, avg(s) filter (where i <> j) as neg, max(na) as norm from s group by batch, i) select batch, round(avg((best = i)::int), 6) as accuracy, round(avg(norm), 6) as norm, round(avg(pos), 6) as pos, round(avg(neg), 6) as neg from b group by batch""",
     "A43_score_pivot": f"with {sql_run()}, {TREC}, {MRR} select 'x' as dataset, (select round(value, 6) from trec where k = 10 and metric = 'NDCG') as \"NDCG\", 0.0::double as \"MRR\" union all select 'y', 0.0, (select round(value * 100, 6) from mrr where k = 10)",

@@ -39,7 +39,7 @@ def f20(s, d):
 
 
 def f23(s, d):
-    x = docs(s, d).select("doc_id").where("doc_id < 100")
+    x = docs(s, d).select("doc_id")
     return x.select("doc_id", F.round(M.linear_schedule(F.col("doc_id"), 10, 90), 6).alias("linear"), F.round(M.cosine_schedule(F.col("doc_id"), 10, 90, 2, 0.5), 6).alias("cosine"))
 
 
@@ -50,13 +50,12 @@ def j2(s, d):
 
 def j5(s, d):
     q, c = split(s, d)
-    every = c.unionByName(q.withColumnRenamed("qid", "doc_id"))
-    return _rounded(R.ranked(R.without_self(S.exact_search(q, every, 6).select("qid", "doc_id", "score")), 5).select("qid", "doc_id", "rank"))
+    return _rounded(R.ranked(R.without_self(S.exact_search(q, c, 6).select("qid", "doc_id", "score")), 5).select("qid", "doc_id", "rank"))
 
 
 def u2(s, d):
     e = emb(s, d)
-    q, c = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid")), e.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("doc_id"))
+    q, c = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid")), e.select(F.col("vec_id").alias("doc_id"))
     table = e.select("vec_id", "embedding")
     r = H.ExactRetriever(H.Precomputed(table.withColumnRenamed("vec_id", "qid"), "qid"), H.Precomputed(table.withColumnRenamed("vec_id", "doc_id"), "doc_id"))
     return _rounded(r.search(q, c, 3).select("qid", "doc_id", "rank"))
@@ -64,13 +63,13 @@ def u2(s, d):
 
 def u7(s, d):
     score = H.cross_encoder(lambda a, b: [float(len(set(x.split()) & set(y.split()))) for x, y in zip(a, b, strict=True)])
-    x = t(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("a"))
-    y = t(s, d, "conversations").where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return x.join(y, "conv_id").select("conv_id", score("a", "b").alias("score"))
+    x = t(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    y = t(s, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return x.join(y, ["conv_id", "turn"]).select("conv_id", "turn", score("a", "b").alias("score"))
 
 
 def u10(s, d):
-    g = H.generate(docs(s, d).where("doc_id < 100"), lambda x: F.slice(T.words(x), 1, 3))
+    g = H.generate(docs(s, d), lambda x: F.slice(T.words(x), 1, 3))
     return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("query").alias("least"))
 
 
@@ -98,10 +97,11 @@ SQL = {
     "F18_json_field": "select doc_id, source as subset from documents",
     "F19_map_update": "select doc_id, null::varchar as a, 'new' as b, lang as c, 2::bigint as n from documents",
     "F20_vector_math": "with e as (select vec_id, embedding::double[] as e from embeddings) select vec_id, round(list_sum(list_transform(e, lambda x: ln(1 + greatest(x, 0)))), 6) as log1p_relu, round(ln(list_sum(list_transform(e, lambda x: exp(x)))), 6) as log_sum_exp, round(list_sum(list_transform(e, lambda x: sign(x)))::double, 6) as sign, round(list_sum(list_transform(e, lambda x: tanh(2 * x))), 6) as tanh, round(list_sum(list_transform(e, lambda x: abs(x))), 6) as unpacked from e",
-    "F23_schedules": "with x as (select doc_id, (doc_id - 10) / 80.0 as p from documents where doc_id < 100) select doc_id, round(case when doc_id < 10 then doc_id / 10.0 else greatest(0, (90 - doc_id) / 80.0) end, 6) as linear, round(case when doc_id < 10 then doc_id / 10.0 when p >= 1 then 0 else pow(0.5, floor(p * 2)) * 0.5 * (1 + cos(pi() * (p * 2 - floor(p * 2)))) end, 6) as cosine from x",
+    "F23_schedules": "with x as (select doc_id, (doc_id - 10) / 80.0 as p from documents) select doc_id, round(case when doc_id < 10 then doc_id / 10.0 else greatest(0, (90 - doc_id) / 80.0) end, 6) as linear, round(case when doc_id < 10 then doc_id / 10.0 when p >= 1 then 0 else pow(0.5, floor(p * 2)) * 0.5 * (1 + cos(pi() * (p * 2 - floor(p * 2)))) end, 6) as cosine from x",
     "J2_judged_run": f"with {sql_run()} select qid, doc_id, rank, rel::bigint as rel from j",
-    "J5_without_self": f"with {sql_run(k=5, where='q.qid <> c.doc_id').replace('embeddings where vec_id % 25 <> 0', 'embeddings')} select qid, doc_id, rank from run",
+    "J5_without_self": f"with {sql_run(k=5, where='true')} select qid, doc_id, rank from run",
     "U2_U8_encoder_retriever": f"with {sql_run(k=3)} select qid, doc_id, rank from run",
-    "U10_generator": f"with w as (select doc_id, unnest({W}[1:3]) as q from documents where doc_id < 100) select doc_id, count(*) as n, min(q) as least from w group by 1",
+    "U7_cross_encoder": f"with w as (select conv_id, turn, list_distinct({W}) as w from conversations) select a.conv_id, a.turn, len(list_intersect(a.w, b.w))::double as score from w a join w b on a.conv_id = b.conv_id and b.turn = a.turn + 1",
+    "U10_generator": f"with w as (select doc_id, unnest({W}[1:3]) as q from documents) select doc_id, count(*) as n, min(q) as least from w group by 1",
     "G19_batch_lengths": f"select doc_id // 32 as batch, max(len({W}))::bigint as longest, count(*) as rows from documents group by 1",
 }

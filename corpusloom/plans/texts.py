@@ -90,11 +90,11 @@ def a17(spark, d):
 
 def lines(spark, d):
     rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).where("text <> ''")
-    return rows.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "text").where("doc_id % 7 = 0")
+    return rows.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "text")
 
 
 def a17_chunks(spark, d):
-    return _num(L.best_chunk(lines(spark, d), bench(spark, d).where("qid % 8 = 0")))
+    return _num(L.best_chunk(lines(spark, d), bench(spark, d)))
 
 
 def v13(spark, d):
@@ -111,8 +111,10 @@ def a18(spark, d):
 
 
 def f24(spark, d):
+    """Terms of the next document as a document's scored terms."""
     ix = L.index(docs(spark, d))
-    scores = ix.terms.where("df > 20").join(docs(spark, d).where("doc_id % 50 = 0").select("doc_id")).select("doc_id", "term", (F.col("df") + F.col("doc_id") % 3).cast("double").alias("score"))
+    scores = ix.postings.where("doc_id > 0").select((F.col("doc_id") - 1).alias("doc_id"), "term").join(ix.terms.where("df > 20"), "term")
+    scores = scores.select("doc_id", "term", (F.col("df") + F.col("doc_id") % 3).cast("double").alias("score"))
     return _num(L.expansion_terms(scores, ix.postings.select("doc_id", "term"), ix.terms.where("df > 500").select("term"), 5).select("doc_id", "term", "score", "rank"))
 
 
@@ -148,9 +150,10 @@ def f14(spark, d):
 
 
 def f14_regex(spark, d):
-    q = questions(spark, d).select("qid", F.transform("answers", lambda a: F.regexp_replace(a, r"[^A-Za-z ]", ".")).alias("answers"))
+    q = questions(spark, d).select("qid", F.transform("answers", lambda a: F.regexp_replace(a, r"[^A-Za-z ]", ".{1,2}")).alias("answers"))
     q = q.withColumn("answers", F.concat("answers", F.array(F.lit("("))))
-    rows = docs(spark, d).where("doc_id % 20 = 0").select("doc_id", "text").join(F.broadcast(q.where("qid % 10 = 0")))
+    run = R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d)), 10)
+    rows = run.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "qid")
     return rows.select("qid", "doc_id", Q.regex_matched(F.col("text"), F.col("answers")).alias("has_answer"))
 
 
@@ -177,8 +180,9 @@ def a11(spark, d):
 
 
 def a19(spark, d):
+    """A text as the prediction; the text without its first two words, and its words two blanks apart, as answers."""
     w = T.words("text")
-    rows = docs(spark, d).select("doc_id", F.array_join(F.slice(w, 1, 12), " ").alias("prediction"), F.array(F.array_join(F.slice(w, 3, 8), " "), F.array_join(F.slice(w, 1, 12), "  ")).alias("answers"))
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("prediction"), F.array(F.array_join(F.slice(w, F.lit(3), F.size(w)), " "), F.array_join(w, "  ")).alias("answers"))
     f1 = Q.best_over_answers(rows, Q.overlap_f1).withColumnRenamed("score", "f1")
     return _num(Q.best_over_answers(f1, Q.exact_match).select("doc_id", "f1", F.col("score").alias("em")))
 
@@ -207,8 +211,9 @@ def per_doc(**cols):
 
 
 def f8(spark, d):
-    g = T.ngrams(F.slice(T.regex_tokens("text", True), 1, 12), 3)
-    return docs(spark, d).select("doc_id", F.size(g).cast("bigint").alias("n"), F.array_join(g, "|").alias("grams"))
+    x = docs(spark, d).select("doc_id", T.regex_tokens("text", True).alias("t"))
+    g = x.select("doc_id", T.ngrams(F.col("t"), 3).alias("g"))
+    return g.select("doc_id", F.size("g").cast("bigint").alias("n"), F.md5(F.array_join("g", "|")).alias("grams"))
 
 
 def f13(spark, d):
@@ -274,7 +279,7 @@ QUERIES = {
     "F11_title_v2": per_doc(title=lambda: T.title_v2(F.concat(F.when(F.col("doc_id") % 3 == 0, "Abstract: ").otherwise(""), F.col("text")))),
     "F12_sections": per_doc(n=lambda: F.size(T.wiki_sections(F.replace("text", F.lit("\n"), F.lit("\n\n")))).cast("bigint"), first=lambda: F.get(T.wiki_sections(F.concat(F.lit("Head\n"), F.replace("text", F.lit("\n"), F.lit("\n\nReferences\n")))), F.lit(0))["header"]),
     "F13_markup": f13,
-    "F15_clean_phrase": per_doc(phrase=lambda: T.clean_phrase(F.concat(F.lit("[["), F.substring("text", 1, 10), F.lit("|x]]")))),
+    "F15_clean_phrase": per_doc(phrase=lambda: F.md5(T.clean_phrase(F.concat(F.lit("[["), F.col("text"), F.lit("|x]]"))))),
     "F16_id_suffix": per_doc(suffix=lambda: T.id_suffix(F.concat_ws("-", F.lit("c4"), F.col("source"), F.col("doc_id").cast("string")))),
     "P2_titled": p2,
     "P3_prefixed": per_doc(text=lambda: F.md5(T.prefixed("query: ", "text"))),
@@ -296,7 +301,8 @@ co as (select {by}, corr(a, b) as pearson, corr(ra, rb) as spearman, count(*) as
 SQL = {
     "A13_corpus_stats": f"with {POST} select n as n_docs, round(avgdl, 6) as avgdl from st",
     "A13_document_frequency": f"with {POST} select term, df from df",
-    "A14_okapi_idf": f"with {POST}, {RAW} select term, df, round(idf, 6) as idf from idf",
+    "A14_okapi_idf": f"""with df as materialized (select term, count(*) as df from (select unnest(list_distinct({bm25_sql('text')})) as term from documents) group by 1), st as (select count(*) as n from documents),
+raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from df, st), mean as (select avg(r) as m from raw) select term, df, round(case when r < 0 then 0.25 * m else r end, 6) as idf from raw, mean""",
     "A15_V12_okapi_top10": f"with {OKAPI} {TOP}",
     "A16_bm25_l": f"""with {POST}, idf as (select term, ln(n + 1.0) - ln(df + 0.5) as idf from df, st), ba as (select qid, sum(qtf * idf * 2.2 * 0.5 / 1.7) as b from qt join idf using (term) group by 1),
 m as (select qid, doc_id, qtf, idf, tf / (0.25 + 0.75 * dl / avgdl) as c from qt join idf using (term) join po using (term), st),
@@ -304,8 +310,8 @@ sc as (select qid, doc_id, round(sum(qtf * idf * (2.2 * (c + 0.5) / (1.7 + c) -
     "A16_bm25_plus": f"""with {POST}, idf as (select term, ln((n + 1.0) / df) as idf from df, st), ba as (select qid, sum(qtf * idf) as b from qt join idf using (term) group by 1),
 sc as (select qid, doc_id, round(sum(qtf * idf * {TF}) + any_value(b), 9) as score from qt join idf using (term) join po using (term) join ba using (qid), st group by 1, 2) {TOP}""",
     "A17_subset_scores": f"with {OKAPI.replace('sc as (', 'sc0 as (')}, sc as (select * from sc0 where doc_id % 2 = 0) {TOP.replace('<= 10', '<= 5')}",
-    "A17_G20_best_chunk": f"""with ch as (select doc_id, i - 1 as chunk_id, l[i] as text from (select doc_id, string_split(text, chr(10)) as l from documents where doc_id % 7 = 0), range(1, 100000) r(i) where i <= len(l) and l[i] <> ''),
-{POST.replace('from documents', "from (select doc_id || '/' || chunk_id as doc_id, text from ch)").replace('from benchmark', 'from benchmark where item_id % 8 = 0')}, {RAW},
+    "A17_G20_best_chunk": f"""with ch as (select doc_id, i - 1 as chunk_id, l[i] as text from (select doc_id, string_split(text, chr(10)) as l from documents), range(1, 100000) r(i) where i <= len(l) and l[i] <> ''),
+{POST.replace('from documents', "from (select doc_id || '/' || chunk_id as doc_id, text from ch)")}, {RAW},
 sc as (select qid, doc_id, round(sum(qtf * idf * {TF}), 9) as score from qt join idf using (term) join po using (term), st group by 1, 2),
 x as (select qid, cast(split_part(doc_id, '/', 1) as bigint) as doc_id, cast(split_part(doc_id, '/', 2) as bigint) as chunk_id, score from sc)
 select qid, doc_id, chunk_id, round(score, 6) as score from (select *, row_number() over (partition by qid, doc_id order by score desc, chunk_id) as r from x) where r = 1""",
@@ -318,11 +324,12 @@ sc as (select qid, doc_id, round(max(score) + 0.5 * (sum(score) - max(score)), 9
 {TOP.replace('rank <= 10', 'rank between 3 and 7')}""",
     "A18_V15_sparse_dot": f"with {POST}, sc as (select qid, doc_id, round(sum(qtf * ln(tf + 1.0)), 9) as score from qt join po using (term) group by 1, 2) {TOP}",
     "A42_vocabulary": f"with {POST} select term, cast(sum(tf) as bigint) as n from po group by term",
-    "F24_expansion_terms": f"""with {POST}, s as (select doc_id, term, df + doc_id % 3 as score, df from df, (select doc_id from documents where doc_id % 50 = 0) where df > 20 and df <= 500 and regexp_matches(term, '^[A-Za-z0-9_-]*$')),
+    "F24_expansion_terms": f"""with {POST}, s as (select doc_id - 1 as doc_id, term, df + (doc_id - 1) % 3 as score from po join df using (term) where doc_id > 0 and df > 20 and df <= 500 and regexp_matches(term, '^[A-Za-z0-9_-]*$')),
 l as (select * from s anti join po using (doc_id, term)) select doc_id, term, cast(score as double) as score, r as rank from (select *, row_number() over (partition by doc_id order by score desc, term) as r from l) where r <= 5""",
     "F14_has_answer": f"with {HITS} select qid, doc_id, rank, hit as has_answer from ht",
-    "F14_regex_answer": f"""with a as (select item_id as qid, list_transform({answers_sql(words_sql('text'))}, lambda a: regexp_replace(a, '[^A-Za-z ]', '.', 'g')) as an from benchmark where item_id % 10 = 0)
-select qid, doc_id, regexp_matches(text, an[1], 'i') or regexp_matches(text, an[2], 'i') as has_answer from documents, a where doc_id % 20 = 0""",
+    "F14_regex_answer": f"""with {OKAPI}, rk as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from sc) where rank <= 10),
+a as (select item_id as qid, list_transform({answers_sql(words_sql('text'))}, lambda a: regexp_replace(a, '[^A-Za-z ]', '.{{1,2}}', 'g')) as an from benchmark)
+select qid, doc_id, regexp_matches(text, an[1], 'i') or regexp_matches(text, an[2], 'i') as has_answer from rk join documents using (doc_id) join a using (qid)""",
     "A10_V21_hit_curve": f"with {HITS} select k, round(count(*) filter (where first <= k) / count(*), 6) as recall from fi, range(1, 11) r(k) group by k",
     "K1_W6_nested_results": f"with {HITS} select an.qid, min(rank) filter (where hit) as hit_min_rank, count(rank) as n_ctxs, coalesce(string_agg(rank::varchar, ',' order by rank) filter (where hit), '') as hits, min_by(doc_id, rank) as top_id from an left join ht using (qid) group by an.qid",
     "A46_rescored": f"with {HITS} select qid, first from fi",
@@ -330,19 +337,20 @@ select qid, doc_id, regexp_matches(text, an[1], 'i') or regexp_matches(text, an[
     "F5_words": doc_sql(n=f"cast(len({words_sql('text')}) as bigint)", joined=f"md5(array_to_string({words_sql('text')}, ' '))"),
     "F4_bm25_tokens": doc_sql(n=f"cast(len({bm25_sql('text')}) as bigint)", tokens=f"md5(array_to_string({bm25_sql('text')}, ' '))"),
     "F6_F7_regex_tokens": doc_sql(n=f"cast(len({tokens_sql('text')}) as bigint)", tokens=f"md5(array_to_string({tokens_sql('text')}, ' '))"),
-    "F8_ngrams": f"with k as (select doc_id, {tokens_sql('text')}[1:12] as t0 from documents), w as (select doc_id, list_transform(t0, lambda x: lower(x)) as t from k), g as (select doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: array_to_string(t[i:i+1], ' ')), list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) as g from w) select doc_id, cast(len(g) as bigint) as n, array_to_string(g, '|') as grams from g",
+    "F8_ngrams": f"with k as (select doc_id, {tokens_sql('text')} as t0 from documents), w as (select doc_id, list_transform(t0, lambda x: lower(x)) as t from k), g as (select doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: array_to_string(t[i:i+1], ' ')), list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) as g from w) select doc_id, cast(len(g) as bigint) as n, md5(array_to_string(g, '|')) as grams from g",
     "F3_normalize_answer": f"select doc_id, md5({norm_sql('''regexp_replace(text, '[^ -~\n]', '_', 'g')''')}) as normal from documents",
-    "A19_em_f1": f"""with w as (select doc_id, {words_sql('text')} as w from documents), p as (select doc_id, array_to_string(w[1:12], ' ') as p, unnest([array_to_string(w[3:10], ' '), array_to_string(w[1:12], '  ')]) as g from w),
-n as (select doc_id, {norm_sql('p')} as p, {norm_sql('g')} as g from p), m as (select doc_id, p, g, {words_sql('p')} as a, {words_sql('g')} as b from n),
-s as (select doc_id, (p = g)::int::double as em, len(a) + len(b) as total, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda z: z = x))))) as same from m)
-select doc_id, round(max(case when coalesce(same, 0) = 0 then 0 else 2.0 * same / total end), 6) as f1, max(em) as em from s group by doc_id""",
+    "A19_em_f1": f"""with w as (select doc_id, text, {words_sql('text')} as w from documents), p as (select doc_id, k, text as p, case k when 1 then array_to_string(w[3:], ' ') else array_to_string(w, '  ') end as g from w, range(1, 3) r(k)),
+n as (select doc_id, k, {norm_sql('p')} as p, {norm_sql('g')} as g from p), m as (select doc_id, k, p, g, {words_sql('p')} as a, {words_sql('g')} as b from n),
+pa as (select doc_id, k, x, count(*) as n from (select doc_id, k, unnest(a) as x from m) group by all), pb as (select doc_id, k, x, count(*) as n from (select doc_id, k, unnest(b) as x from m) group by all),
+o as (select doc_id, k, sum(least(pa.n, pb.n)) as same from pa join pb using (doc_id, k, x) group by all)
+select doc_id, round(max(case when coalesce(same, 0) = 0 then 0 else 2.0 * same / (len(a) + len(b)) end), 6) as f1, max((p = g)::int::double) as em from m left join o using (doc_id, k) group by doc_id""",
     "A20_order_agreement": """with g as (select doc_id // 10 as qid, doc_id % 10 as gold, row_number() over (partition by doc_id // 10 order by length(text) desc, doc_id % 10) as i from documents)
 select qid, (select count(*) from g a join g b on a.qid = b.qid and a.i < b.i and a.gold > b.gold where a.qid = g.qid) as inversions, round(count(*) filter (where i <= 3 and gold < 3) / 3.0, 6) as overlap, max(i) filter (where gold < 3) as cover from g group by qid""",
     "A22_sts_summary": f"with x as (select lang, length(text)::double as a, doc_id % 17 + length(text) / 500 as b from documents), {corr_sql('lang')} select round(avg(pearson), 6) as pearson_mean, round(sum(pearson * n) / sum(n), 6) as pearson_wmean, round(avg(spearman), 6) as spearman_mean, round(sum(spearman * n) / sum(n), 6) as spearman_wmean from co",
     "A44_per_language": f"with x as (select lang, length(text)::double as a, (doc_id % 17)::double as b from documents), {corr_sql('lang')} select lang, round(pearson, 6) as pearson, round(spearman, 6) as spearman, n from co",
     "F2_clean_passage": doc_sql(clean="""md5('''' || translate(text, chr(10) || '’', ' '''))"""),
     "F10_title": f"with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: array_to_string({words_sql('x')}, ' ')) as l from documents), p as (select doc_id, case when doc_id % 2 = 0 then list_filter(l, lambda x: x <> '')[1] else list_filter(l, lambda x: len(string_split(x, ' ')) > 3)[1] end as p from l) select doc_id, array_to_string(string_split(p, ' ')[1:64], ' ') as title from p",
-    "F15_clean_phrase": doc_sql(phrase="regexp_replace(split_part('[[' || substr(text, 1, 10) || '|x]]', '|', 1), '^[\\[\\]]+|[\\[\\]]+$', '', 'g')"),
+    "F15_clean_phrase": doc_sql(phrase="md5(regexp_replace(split_part('[[' || text || '|x]]', '|', 1), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'))"),
     "F16_id_suffix": doc_sql(suffix="doc_id::varchar"),
     "P2_titled": "with x as (select doc_id, text, case when doc_id % 2 = 0 then split_part(text, chr(10), 1) else '' end as ti from documents) select doc_id, " + ", ".join(f"md5(trim(case when length(ti) > 0 then ti || '{s}' || text else text end, ' ')) as {n}" for n, s in (("blank", " "), ("marked", " TEXT: "), ("sep", "[SEP]"))) + " from x",
     "P3_prefixed": doc_sql(text="md5('query: ' || text)"),
