@@ -105,8 +105,10 @@ def nfd_each(texts: Column | str) -> Column:
 
 
 def utf8(text: Column | str) -> Column:
-    """Text as valid UTF-8 holds it (F17): bytes that are no character go."""
-    return F.replace(F.make_valid_utf8(_c(text)), F.lit("\ufffd"), F.lit(""))
+    """Text without the bytes that are no UTF-8 (F17); replacement characters that the text has itself stay."""
+    t, kept = _c(text), F.lit("\x01\x02")
+    cut = F.replace(F.make_valid_utf8(F.replace(t, F.lit("\ufffd"), kept)), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(t), t).otherwise(F.replace(cut, kept, F.lit("\ufffd")))
 
 
 def clean_passage(text: Column | str) -> Column:

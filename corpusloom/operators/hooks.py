@@ -62,6 +62,40 @@ def cross_encoder(predict: Callable[[list[str], list[str]], list[float]]) -> Sco
     return pandas_udf(run, "double")
 
 
+def scored(pairs: DataFrame, scorers: dict[str, Scorer]) -> DataFrame:
+    """pairs(a, b: vectors) with a column for each named scorer."""
+    return pairs.select("*", *(fn(V.doubles("a"), V.doubles("b")).alias(name) for name, fn in scorers.items()))
+
+
+def map_batches(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """A lazy map over batches of rows (U1): fn takes and gives a pandas frame."""
+
+    def run(frames):
+        for frame in frames:
+            yield fn(frame)
+
+    return rows.mapInPandas(run, schema)
+
+
+class BatchEncoder:
+    """An encoder made of two callables (U6): prepare(rows), once, gives what batcher(prepared, texts) needs to make vectors."""
+
+    def __init__(self, prepare: Callable[[DataFrame], object], batcher: Callable[[object, list[str]], list[list[float]]]):
+        self.prepare, self.batcher = prepare, batcher
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        prepared, batcher = self.prepare(rows), self.batcher
+
+        def run(texts):
+            return pd.Series(batcher(prepared, list(texts)))
+
+        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        return rows.withColumn("embedding", pandas_udf(run, "array<double>")("text"))
+
+
 def generate(corpus: DataFrame, queries_of: Callable[[Column], Column]) -> DataFrame:
     """n queries per passage (U10): queries_of gives an array of strings."""
     return corpus.select("doc_id", F.explode(queries_of(F.col("text"))).alias("query"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rand import below, uniform
-from corpusloom.functions.text import clean_passage, clean_phrase, title_of, words
+from corpusloom.functions.text import clean_passage, clean_phrase, title_of, wiki_sections, words
 
 from .sampling import crop, weighted_choice, word_replace
 
@@ -36,14 +36,20 @@ def pretraining_pairs(
     phrases = F.transform("phrases", clean_phrase) if "phrases" in docs.columns else F.array().cast("array<string>")
     outputs = F.map_values("outputs") if "outputs" in docs.columns else F.array().cast("array<string>")
     pick = lambda a, s: F.when(F.size(a) > 0, F.get(a, below(s, F.size(a), key).cast("int")))
+    rows = rows.withColumn("_title", title)
+    # the kind is drawn by what a row has; only the drawn one's text is built
     candidates = [
-        ("title", F.when(F.length(title) > 0, title)),
-        ("phrase", pick(phrases, seed + 3)),
-        ("crop", F.when(F.size("_ctx") > 0, _text(crop(F.col("_ctx"), seed + 4, key)))),
-        ("output", pick(outputs, seed + 5)),
+        ("title", F.length("_title") > 0, F.col("_title")),
+        ("phrase", F.size(phrases) > 0, pick(phrases, seed + 3)),
+        ("crop", F.size("_ctx") > 0, _text(crop(F.col("_ctx"), seed + 4, key))),
+        ("output", F.size(outputs) > 0, pick(outputs, seed + 5)),
     ]
-    choice = [(F.when(v.isNotNull(), F.struct(F.lit(n).alias("type"), v.alias("text"))), weights.get(n, 0.0)) for n, v in candidates]
-    rows = rows.withColumn("_q", weighted_choice(uniform(seed + 6, key), choice))
+    kind = weighted_choice(uniform(seed + 6, key), [(F.when(has, F.lit(n)), weights.get(n, 0.0)) for n, has, _ in candidates])
+    rows = rows.withColumn("_kind", kind)
+    drawn = F.lit(None).cast("string")
+    for n, _, text in candidates:
+        drawn = F.when(F.col("_kind") == n, text).otherwise(drawn)
+    rows = rows.withColumn("_q", F.struct(F.col("_kind").alias("type"), drawn.alias("text")))
     doc = word_replace(crop(F.col("_ctx"), seed + 7, key, 0.05, 0.5, 4, 64), seed + 8, key, doc_deletion)
     query = F.col("_q.text")
     if query_crop:
@@ -51,6 +57,13 @@ def pretraining_pairs(
     return rows.select(F.col("doc_id").alias("id"), _text(F.col("_ctx")).alias("context"), F.col("_q.type").alias("query_type"), query.alias("query"), _text(doc).alias("doc"))
 
 
+def simple_documents(docs: DataFrame) -> DataFrame:
+    """(id, title, doc): the first section of each text, its header as the title where it has one (G12). Texts without a
+    section are left out."""
+    first = F.get(wiki_sections("text"), F.lit(0))
+    return docs.withColumn("_s", first).where("_s is not null").select(F.col("doc_id").alias("id"), F.coalesce("_s.header", F.lit("")).alias("title"), F.col("_s.body").alias("doc"))
+
+
 def dpr_pairs(records: DataFrame, seed: int = 1, pseudo_query_ratio: float = 0.5) -> DataFrame:
     """First positive as the document; the query is the question, or with the given probability's complement a crop of it."""
     key = F.col("question_id")

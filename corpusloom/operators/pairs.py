@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prep import ordered_totals
 from .ranking import ranked
 
 
-
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return rows.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(by or []), value)) - 1) / 2.0)
+    """Ranks with ties averaged (W7), within groups of by. Distinct values are counted first and summed up by ranges, so
+    neither a large group nor the whole table is sorted in one task."""
+    by = by or []
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = ordered_totals(counts, [F.col(c) for c in (*by, value)], F.col("_n")).select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out), (F.col("_upto") - F.col("_n")).alias("_from"))
+    if by:
+        start = upto.groupBy(*by).agg(F.min("_from").alias("_start"))
+        upto = upto.join(start, by).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
+    mine = upto.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate((*by, value))), out)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*by, value))))
+    return rows.join(mine, same).drop(*(f"_k{i}" for i in range(len(by) + 1)))
 
 
 def correlations(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Pearson and Spearman of x and y (A21); null for a constant column. by: per group."""
     by = by or []
-    r = average_ranks(average_ranks(rows, x, "_rx", by), y, "_ry", by)
+    r = average_ranks(average_ranks(rows.select(*by, x, y), x, "_rx", by), y, "_ry", by)
 
     def corr(a, b):
         n, sa, sb = F.count("*"), F.sum(a), F.sum(b)
@@ -38,11 +49,10 @@ def sts_summary(per_set: DataFrame) -> DataFrame:
 def pair_classification(rows: DataFrame) -> DataFrame:
     """Best accuracy and F1 with their thresholds, and average precision, of rows(pair_id, score, label).
     Cuts lie between neighbours by score; the last row is no cut; the first best cut counts.
-    Running counts are kept per distinct score first, so the ordered pass sees counts only."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "pair_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    The running counts are summed up by ranges of scores."""
     total = rows.agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    r = rows.withColumn("tp", F.sum("label").over(upto)).withColumn("i", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).join(F.broadcast(total))
+    r = ordered_totals(rows.select("pair_id", "score", "label"), [-F.col("score"), F.col("pair_id")], F.col("label"), F.col("score"))
+    r = r.withColumnsRenamed({"_upto": "tp", "_i": "i", "_next": "next"}).join(F.broadcast(total))
     r = r.withColumn("threshold", (F.col("score") + F.col("next")) / 2)
     cuts = r.where("i < n").withColumn("accuracy", (F.col("tp") + (F.col("n") - F.col("pos")) - (F.col("i") - F.col("tp"))) / F.col("n")).withColumn("f1", F.try_divide(2.0 * F.col("tp"), F.col("i") + F.col("pos")))
     best = lambda m: F.min_by(F.struct(F.col(m).alias("value"), "threshold"), F.struct((-F.col(m)).alias("v"), "i"))

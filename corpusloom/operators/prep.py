@@ -79,6 +79,23 @@ def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
     return ordered.join(F.broadcast(starts), "_p").withColumn(out, (F.col("_start") + r - 1).cast("bigint")).drop("_p", "_start")
 
 
+def ordered_totals(rows: DataFrame, order: list[Column], value: Column, ahead: Column | None = None) -> DataFrame:
+    """rows with _i (from 1) and _upto (running sum of value) in the given order, and _next (ahead of the following row) if
+    asked for. As in numbered, rows are dealt by ranges and one row per range is all that meets in one task."""
+    named = rows.withColumn("_o", F.struct(*order)).withColumn("_v", value)
+    named = named.withColumn("_a", ahead) if ahead is not None else named
+    dealt = materialize(named.repartitionByRange("_o").withColumn("_p", F.spark_partition_id()), "ordered")
+    w = Window.partitionBy("_p").orderBy("_o")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = [F.count("*").alias("_n"), F.sum("_v").alias("_s"), *([F.min_by("_a", "_o").alias("_f")] if ahead is not None else [])]
+    starts = dealt.groupBy("_p").agg(*per)
+    starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), *([F.lead("_f").over(Window.orderBy("_p")).alias("_f1")] if ahead is not None else []))
+    out = dealt.join(F.broadcast(starts), "_p").withColumn("_i", F.col("_n0") + F.row_number().over(w)).withColumn("_upto", F.col("_s0") + F.sum("_v").over(upto))
+    if ahead is not None:
+        out = out.withColumn("_next", F.coalesce(F.lead("_a").over(w), "_f1")).drop("_a", "_f1")
+    return out.drop("_o", "_v", "_p", "_n0", "_s0")
+
+
 def dense_ids(rows: DataFrame, key: str) -> DataFrame:
     """Key to a dense number from 0."""
     return numbered(rows.select(key).distinct(), key, "index")

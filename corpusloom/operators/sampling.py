@@ -111,7 +111,9 @@ def weighted_interleave(parts: list[DataFrame], key: str, probabilities: list[fl
         upto += p / sum(probabilities)
         source = F.when(u < upto, i) if source is None else source.when(u < upto, i)
     plan = parts[0].sparkSession.range(steps).select(F.col("id").alias("step")).withColumn("source", F.coalesce(source, F.lit(len(parts) - 1)).cast("bigint"))
-    plan = plan.withColumn("draw", F.row_number().over(Window.partitionBy("source").orderBy("step")).cast("bigint") - 1)
+    plan = numbered(plan.withColumn("_k", F.struct("source", "step")), "_k", "_n").drop("_k")
+    first = plan.groupBy("source").agg(F.min("_n").alias("_first"))  # one row per source
+    plan = plan.join(F.broadcast(first), "source").withColumn("draw", F.col("_n") - F.col("_first")).drop("_n", "_first")
     every = None
     for i, p in enumerate(parts):
         p = numbered(p.withColumn("source", F.lit(i).cast("bigint")), key, "_at")

@@ -140,7 +140,7 @@ def _count_kernel(sent):
             for at in range(0, len(ids), QUERY_TILE):
                 some = slice(at, at + QUERY_TILE)
                 s = np.round(_scores(x, q[some], "cos_sim"), SCALE)
-                other = docs[:, None] != best_id[None, some]
+                other = (docs[:, None] != best_id[None, some]) & (docs[:, None] != ids[None, some])
                 n = (other & ((s > best[some]) | ((s == best[some]) & (docs[:, None] < best_id[some])))).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n)], ["qid", "n"])
 
@@ -149,7 +149,8 @@ def _count_kernel(sent):
 
 def own_ranks(queries: DataFrame, corpus: DataFrame, own: DataFrame) -> DataFrame:
     """(qid, r) for every query: the rank by cosine of its best own(qid, doc_id) document in the whole corpus,
-    the number of documents and one where it has none there. Better documents are counted in blocks, none is cut off."""
+    the number of documents and one where it has none there. A query's own row does not count. Better documents are
+    counted in blocks, none is cut off."""
     spark = corpus.sparkSession
     ship(spark)
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")
@@ -227,9 +228,9 @@ def half_precision(vectors: DataFrame, digits: int = 3) -> DataFrame:
     return vectors.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: F.round(x, digits)))
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, share: float = 0.75, seed: int = 7) -> DataFrame:
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, share: float = 0.75, seed: int = 7, threshold: float | None = None) -> DataFrame:
     """Inverted file (V11): k-means cells, about the root of the corpus size and 16 at least where
-    none are given; each query searches the share of the cells whose centres are nearest."""
+    none are given; each query searches the share of the cells whose centres are nearest. Scores below a threshold are dropped."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -246,7 +247,7 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None
         return out
 
     placed = model.transform(data).select("doc_id", "e", F.col("prediction").alias("cell"))
-    return _search(queries, placed, k, "dot", True, probe=probe)
+    return _search(queries, placed, k, "dot", True, threshold, probe)
 
 
 def _refined(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, wide: int) -> DataFrame:
