@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -35,6 +36,8 @@ from . import common
 NAME = "op8_secret_scan"
 #: Documents whose tokens are learned from, on average (any number of documents in the table), and the credentials and ordinary tokens kept of them per kind.
 SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 400
+#: Tasks that a kind's sample is dealt to.
+SHARES = 32
 #: Credentials of a kind below which nothing is learned.
 LEAST = 20
 #: Significance of the test for compatible states.
@@ -42,7 +45,7 @@ ALPHA = 0.1
 #: Shortest candidate token, as long as the shortest labelled credential.
 SHORTEST = 6
 #: Tokens whose kind a worker remembers.
-MEMO = 100_000
+MEMO = 300_000
 #: Share of the ordinary tokens below the threshold; credentials among the others do not move it.
 ORDINARY = 0.99
 
@@ -111,6 +114,7 @@ class Automaton:
         self.char = {c: math.log((n + 0.5) / (of_class[_class(c)] + 0.5 * size.get(_class(c), 1))) for c, n in chars.items()}
         self.other = {k: math.log(0.5 / (n + 0.5 * size.get(k, 1))) for k, n in of_class.items()}
         self.step = [self._logs(s) for s in range(len(self.visits))]
+        self.table = [_State(self, s) for s in range(len(self.visits))]
 
     def _differ(self, n1: int, f1: int, n2: int, f2: int) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.root * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -169,14 +173,31 @@ class Automaton:
 
     def score(self, word: str) -> float:
         """Mean log-likelihood of a character; a class that the state never saw costs a rare event and keeps the state."""
-        at, total = 0, 0.0
+        at, total = self.table[0], 0.0
         for c in word:
-            k = _class(c)
-            log, at = self.step[at].get(k, (-7.0, at))
-            total += log + (self.char.get(c) or self.other.get(k, -4.0))
+            log, at = at[c]
+            total += log
         return total / max(1, len(word))
 
 
+class _State(dict):
+    """What each character costs in a state, and the state it leads to; filled as characters come."""
+
+    def __init__(self, automaton: Automaton, number: int):
+        self.automaton, self.number = automaton, number
+
+    def __missing__(self, c: str):
+        a, k = self.automaton, _class(c)
+        log, to = a.step[self.number].get(k, (-7.0, self.number))
+        out = log + (a.char.get(c) or a.other.get(k, -4.0)), a.table[to]
+        if c.isascii():
+            self[c] = out
+        return out
+
+    def __reduce__(self):
+        return _State, (self.automaton, self.number)
+
+
 class Model:
     """One automaton per kind, that of ordinary tokens, and the threshold."""
 
@@ -200,15 +221,15 @@ class Model:
 
     def hit(self, token: str) -> tuple[str, int, int] | None:
         """The kind of a token and where its value is in it; None for an ordinary one."""
-        if token not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+        found = self.memo.get(token, token)
+        if found is token:
             found, v = None, VALUE(token)
             if v and len(v[1]) >= SHORTEST:
                 score, kind = self.best(v[1])
                 found = (kind, *v.span(1)) if score >= self.threshold else None
-            self.memo[token] = found
-        return self.memo[token]
+            if len(self.memo) < MEMO and len(token) <= 64:  # frequent tokens come early
+                self.memo[token] = found
+        return found
 
 
 def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -283,17 +304,23 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int =
     of their distinct tokens the sample_tokens smallest by hash per kind, cut to 256 characters."""
     picked = docs.where(common.sampled(F.xxhash64("doc_id", "text"), sample_docs, docs.count()))
     found = picked.select("text").mapInArrow(_sample_kernel(sample_tokens), "kind string, word string, h bigint")
-    rank = F.dense_rank().over(Window.partitionBy("kind").orderBy("h", "word"))
-    words: dict[str, list[str]] = {k: [] for k in (*KINDS, "ordinary")}
-    for row in found.withColumn("rank", rank).where(F.col("rank") <= sample_tokens).select("kind", "word").distinct().collect():
-        words[row["kind"]].append(row["word"])
-    for v in words.values():
-        v.sort()
-    return Model(words, words.pop("ordinary"))
+    # the smallest of each share of a kind hold the smallest of the kind; no kind is one task's alone
+    rank = F.dense_rank().over(Window.partitionBy("kind", F.col("h") % SHARES).orderBy("h", "word"))
+    words: dict[str, set[tuple[int, str]]] = {k: set() for k in (*KINDS, "ordinary")}
+    for row in found.withColumn("rank", rank).where(F.col("rank") <= sample_tokens).select("kind", "h", "word").distinct().collect():
+        words[row["kind"]].add((row["h"], row["word"]))
+    picked = {k: sorted(w for _, w in sorted(v)[:sample_tokens]) for k, v in words.items()}
+    return Model(picked, picked.pop("ordinary"))
+
+
+def _sent(docs: DataFrame, model: Model):
+    """The model as a broadcast, and a name by which workers keep it and what they learn of tokens."""
+    return docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
 
-def _scan_kernel(model: Model):
+def _scan_kernel(sent, key: str):
     def run(batches):
+        model = common.kept(f"secrets {key}", lambda: sent.value)
         for part in common.slices(batches, "text"):
             found = [[dict(zip(("kind", "start", "stop"), x, strict=True)) for x in all_spans(t, model)] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, _SPAN)], ["doc_id", "spans"])
@@ -304,7 +331,7 @@ def _scan_kernel(model: Model):
 def secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, spans (code points, end exclusive) for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_scan_kernel(model or learn(docs)), f"doc_id bigint, spans {SPANS_DDL}")
+    return docs.mapInArrow(_scan_kernel(*_sent(docs, model or learn(docs))), f"doc_id bigint, spans {SPANS_DDL}")
 
 
 def masked(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str | None:
@@ -319,8 +346,9 @@ def masked(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SE
     return "".join(out) + text[at:]
 
 
-def _mask_kernel(model: Model, names: list[str]):
+def _mask_kernel(sent, key: str, names: list[str]):
     def run(batches):
+        model = common.kept(f"secrets {key}", lambda: sent.value)
         for part in common.slices(batches, "text"):
             new = [masked(t, all_spans(t, model)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new, part.schema.field("text").type) if n == "text" else part.column(n) for n in names], names)
@@ -330,7 +358,7 @@ def _mask_kernel(model: Model, names: list[str]):
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text masked; all rows and columns stay."""
-    return docs.mapInArrow(_mask_kernel(learn(docs.select("doc_id", "text")), docs.columns), docs.schema)
+    return docs.mapInArrow(_mask_kernel(*_sent(docs, learn(docs.select("doc_id", "text"))), docs.columns), docs.schema)
 
 
 def _joined(spans: Column) -> Column:
