@@ -69,6 +69,19 @@ def s15(s, d):
     return I.embeddings(s, f"{p}/all").select("id", F.size("embedding").cast("bigint").alias("dims"))
 
 
+def s16(s, d):
+    """Five shards, of which the second of two ranks gets the last two; and the first alone."""
+    p = here(s, "tokens")
+    rows = docs(s, d).select(F.col("doc_id").alias("id"), F.transform(F.split("text", " "), lambda x: F.length(x)).alias("tokens"), (F.col("doc_id") % 5).alias("g"))
+    rows.repartition(1).write.partitionBy("g").parquet(p)
+    parts = {"split": I.token_shards(s, p, "split", 1, 2), "single": I.token_shards(s, p, "single"), "full": I.token_shards(s, p)}
+    out = None
+    for mode, df in parts.items():
+        df = df.groupBy().agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"), F.sum("id").alias("ids")).select(F.lit(mode).alias("mode"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def s17(s, d):
     p = here(s, "shards")
     docs(s, d).select(F.col("doc_id").alias("id"), "lang", F.floor(F.col("doc_id") / 100).alias("g")).write.partitionBy("g").json(p)
@@ -217,6 +230,7 @@ QUERIES = {
     "S13_K6_dpr_records": s13,
     "S14_medi": s14,
     "S15_S16_K12_embedding_shards": s15,
+    "S16_token_shards": s16,
     "S17_shard_walk": s17,
     "S18_json_array": s18,
     "S19_sts_pairs": s19,
@@ -236,6 +250,7 @@ QUERIES = {
 }
 
 SQL = {
+    "S16_token_shards": "select mode, count(*) as n, sum(len(string_split(text, ' ')))::bigint as tokens, sum(doc_id)::bigint as ids from documents, (values ('split', 3, 4), ('single', 0, 0), ('full', 0, 4)) m(mode, lo, hi) where doc_id % 5 between lo and hi group by mode",
     "S1_S2_beir_queries": f"with {JUDGED} select item_id::varchar as qid, md5(text) as text from benchmark where item_id in (select qid from qr)",
     "S3_K4_corpus_json": "select doc_id::varchar as doc_id, md5(split_part(text, chr(10), 1)) as title, md5(text) as text from documents",
     "S4_K4_qrels_tsv": f"with {JUDGED} select qid::varchar as qid, doc_id::varchar as doc_id, 1::bigint as rel from qr",

@@ -136,10 +136,26 @@ def medi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, glob: str) -> DataFrame:
-    """Embedding shards (S15, S16): id, embedding."""
+    """Embedding shards (S15): id, embedding."""
     return spark.read.schema("id string, embedding array<float>").parquet(glob)
 
 
+def token_shards(spark: SparkSession, folder: str, mode: str = "full", rank: int = 0, world: int = 1, schema: str = "id bigint, tokens array<int>") -> DataFrame:
+    """Token shards below a folder in the order of their paths (S16): all of them, the first alone ("single"), or one rank's
+    share ("split": contiguous, the first ranks get one more). Only the names of files are looked at to choose."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.p*").load(folder).select("path")
+    files = sorted(r["path"] for r in names.collect())
+    if mode == "split":
+        size, more = divmod(len(files), world)
+        at = rank * size + min(rank, more)
+        files = files[at : at + size + (rank < more)]
+    elif mode == "single":
+        files = files[:1]
+    elif mode != "full":
+        raise ValueError(f"no such mode: {mode}; one of full, single, split")
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
 def shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """JSON lines of all files below a folder, with their file."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).json(folder).withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
