@@ -8,10 +8,11 @@
    are dealt to parts of bounded size and the hub is sent to each part once, not to each
    pair. Where that leaves a bucket with several components, the members outside the hub's
    component are compared with each other and with the hub's component in tiles of bounded
-   size, the most similar first, until they are connected; pairs within one component need
-   no comparison. So no pair of a bucket goes unexamined that could join two components,
-   a hub's component is copied once per tile of the others only, and a task returns links
-   that join, never all pairs.
+   size: signatures first, bucket by bucket, then the sets of what is left, drawn together
+   over all buckets, the most similar first, until they are connected. Pairs within one
+   component need no comparison. So no pair of a bucket goes unexamined that could join two
+   components, a hub's component is copied once per tile of the others only, and a task
+   returns links that join or pairs that connect, never all pairs.
 4. A comparison looks at BATCH hashes at a time and stops once the posterior probability
    (uniform prior) of reaching the threshold falls below MISS; survivors are verified on
    their full shingle sets.
@@ -214,17 +215,45 @@ def _star_kernel(percent: int):
     return run
 
 
+_PLACE = ["bucket", "i", "with_rest", "j"]
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = table.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, np.flatnonzero(side == 1) if side.max() else left
+
+
+def _near_kernel(percent: int):
+    """Pairs of a tile, of different components, whose signatures may link them: as many as connect what all such pairs connect."""
+    steps = least_matches(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sign = _signs(table.column("sign").combine_chunks())
+        left, right = _sides(table)
+        root, found = np.arange(len(node)), []
+        for i in left.tolist():
+            rows, _ = survivors(sign[i], sign, right[comp[right] != comp[i]], steps)
+            new, at = np.unique(root[rows], return_index=True)
+            apart = new != root[i]
+            if apart.any():
+                found += [(int(node[i]), int(node[rows[k]])) for k in at[apart].tolist()]
+                root[np.isin(root, new[apart])] = root[i]
+        return pa.Table.from_batches([_links(found)])
+
+    return run
+
+
 def _tile_kernel(percent: int):
     """Verified links of a tile that join components."""
     steps = least_matches(percent)
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
-        side = table.column("side").to_numpy()
         sign = _signs(table.column("sign").combine_chunks())
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if side.max() else left
+        left, right = _sides(table)
         links = []
         for i in left.tolist():
             rows, matches = survivors(sign[i], sign, right[comp[right] != comp[i]], steps)
@@ -283,34 +312,51 @@ def _star_links(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = member.where("node <> hub").groupBy("hub", "node").agg(F.max("parts").alias("parts")).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     pairs = common.materialize(pairs, "dup-pairs")
     at = ["hub", "parts", "salt"]
-    body = pairs.join(nodes, "node").select(*at, "node", "sign", "set")
-    heads = pairs.select(*at).distinct().withColumn("node", F.col("hub")).join(nodes, "node").select(*at, "node", "sign", "set")
-    dealt = heads.unionByName(body).repartition(*at).sortWithinPartitions(*at, F.col("node") != F.col("hub"))
+    asked = pairs.select(*at, "node").unionByName(pairs.select(*at).distinct().withColumn("node", F.col("hub")))
+    dealt = asked.join(nodes, "node").select(*at, "node", "sign", "set").repartition(*at).sortWithinPartitions(*at, F.col("node") != F.col("hub"))
     links = common.materialize(dealt.mapInArrow(_star_kernel(percent), _PAIRS), "dup-links")
     common.forget(pairs)
     return links
 
 
-def _tile_links(member: DataFrame, groups: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links that join components inside buckets which the comparisons with hubs left apart. Members outside the hub's
-    component (the rest) meet each other and the hub's component, in tiles; members of the hub's component don't meet."""
+def _placed(member: DataFrame, groups: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The columns of nodes for every tile in which a member(bucket, node, size, parts) of a bucket of several components
+    is compared: members outside the component of the bucket's hub (the rest) meet each other and the hub's component;
+    members of the hub's component don't meet. groups(bucket, hub, parts), parts(node, component)."""
     on = ["bucket", "tile"]
-    large, grown = member.where("n > 2"), parts.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
-    heads = groups.where("n > 2").join(grown, "hub", "left").select("bucket", F.coalesce("of_hub", "hub").alias("of_hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
-    now = large.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("tile", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias("tile")
+    heads = groups.join(parts.select(F.col("node").alias("hub"), F.col("component").alias("of_hub")), "hub", "left").select("bucket", F.coalesce("of_hub", "hub").alias("of_hub"), every("parts"))
+    now = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("tile", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     now = now.join(heads, on).select(*on, "node", "size", "parts", "component", (F.col("component") != F.col("of_hub")).alias("rest"))
     now = common.materialize(now, "dup-apart")
     rest = now.where("rest").groupBy("bucket", "parts").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    open_ = rest.select("bucket", _parts(F.col("n"), F.col("words")).alias("rests"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
+    open_ = rest.select("bucket", _parts(F.col("n"), F.col("words")).alias("rests"), every("parts"))
     met = now.join(open_, on).join(nodes, "node")
     own = F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int")
-    place = lambda i, with_rest, j, side: F.struct(i.cast("int").alias("i"), F.lit(with_rest).alias("with_rest"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+
+    def place(i: Column, with_rest: bool, j: Column, side: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), F.lit(with_rest).alias("with_rest"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
     tiles, rests = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("rests") - 1)
-    with_rests = F.transform(rests, lambda o: place(F.least(own, o), True, F.greatest(own, o), F.when(own > o, 1).otherwise(0)))
-    places = F.when(F.col("rest"), F.concat(F.transform(tiles, lambda t: place(own, False, t, 0)), with_rests)).otherwise(F.transform(rests, lambda o: place(o, False, F.col("tile"), 1)))
-    met = met.withColumn("p", F.explode(places)).select("bucket", "p.*", "node", "component", "sign", "set")
-    links = common.materialize(met.groupBy("bucket", "i", "with_rest", "j").applyInArrow(_tile_kernel(percent), _PAIRS), "dup-tiled")
-    common.forget(now)
+    with_rests = F.transform(rests, lambda o: place(F.least(own, o), True, F.greatest(own, o), (own > o).cast("int")))
+    places = F.when(F.col("rest"), F.concat(F.transform(tiles, lambda t: place(own, False, t, F.lit(0))), with_rests)).otherwise(F.transform(rests, lambda o: place(o, False, F.col("tile"), F.lit(1))))
+    return met.withColumn("p", F.explode(places)).select("bucket", "p.*", "component", *nodes.columns)
+
+
+def _tile_links(member: DataFrame, groups: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links that join components inside buckets which the comparisons with hubs left apart. Signatures meet first, bucket by
+    bucket; what may still be linked is drawn together over all buckets, so a set travels once per tile of such a group and
+    not once per bucket."""
+    met = _placed(member.where("n > 2"), groups.where("n > 2"), parts, nodes.select("node", "sign"))
+    near = common.materialize(met.groupBy(*_PLACE).applyInArrow(_near_kernel(percent), _PAIRS), "dup-near")
+    drawn = components(near)
+    sizes = member.groupBy("node").agg(F.min("size").alias("size"))
+    again = common.materialize(drawn.join(sizes, "node").select(F.col("component").alias("bucket"), "node", "size"), "dup-again")
+    heads = again.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("size").alias("words"))
+    heads = common.materialize(heads.select("bucket", "hub", _parts(F.col("n"), F.col("words")).alias("parts")), "dup-heads")
+    met = _placed(again.join(heads.select("bucket", "parts"), "bucket"), heads, parts, nodes)
+    links = common.materialize(met.groupBy(*_PLACE).applyInArrow(_tile_kernel(percent), _PAIRS), "dup-tiled")
+    common.forget(near, drawn, again, heads)
     return links
 
 
@@ -349,7 +395,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     nodes = common.materialize((nodes.dropDuplicates(["node", "key"]) if repeated else nodes).select("node", "sign", "set"), "dup-sets")
     sent.destroy()
 
-    links = _star_links(member, nodes, percent)
+    links = stars = _star_links(member, nodes, percent)
     if repeated:
         links = links.unionByName(_same_id_links(known, again, reps))
     parts = components(links)
@@ -359,7 +405,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         common.forget(before)
     merged = reps.select("key", "node", "many").join(parts, "node", "left").where("many > 1 or component is not null").select("key", F.coalesce("component", "node").alias("component"))
     out = rows.join(merged, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    common.forget(groups, member, nodes, more)
+    common.forget(again, groups, member, nodes, stars, more)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
