@@ -202,10 +202,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
-g as (select vec_id, label, case when label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 then e end as e from v),
-u as (select *, sqrt(list_inner_product(e, e)) as n from g where e is not null),
-p as (select a.vec_id as a, b.vec_id as b, a.n * b.n as n, case when len(a.e) = len(b.e) then a.e end as x, b.e as y from u a join u b on a.label = b.label and a.vec_id <> b.vec_id where a.n > 0 and b.n > 0),
-l as (select a, b from p where x is not null and case when x is not null then list_inner_product(x, y) / n end >= 0.93),
+u as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as a, b.vec_id as b, a.e as x, b.e as y, a.n * b.n as n from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.n > 0 and b.n > 0),
+l as (select a, b from p where list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i])) / n >= 0.93),
 reach as (select a as n, a as r from l union select reach.n, l.b from reach join l on reach.r = l.a),
 c as (select n, min(r) as c from reach group by n), k as (select a, count(*) as links from l group by a)
 select vec_id, cast(coalesce(links, 0) as bigint) as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
