@@ -49,6 +49,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-6
 #: Members of one bucket and side that meet in one group of a task, and their shingles.
 TILE, TILE_WORDS = 512, 1 << 20
+#: Rows of ids that are sent to every task rather than dealing the sets out anew; beyond, both sides are dealt.
+SENT_ROWS = 1 << 19
 #: Bits of the filter that tells which documents' sets are needed; larger inputs make it less sharp, not larger.
 FILTER_BITS = 1 << 27
 MEMO = 250_000
@@ -306,6 +308,11 @@ def _parts(n: Column, words: Column) -> Column:
     return F.ceil(F.greatest(n / TILE, words / TILE_WORDS)).cast("int")
 
 
+def _sent(narrow: DataFrame, counted: DataFrame) -> DataFrame:
+    """narrow as the side of a join that is broadcast, if the written table that bounds it has at most SENT_ROWS rows."""
+    return F.broadcast(narrow) if counted.count() <= SENT_ROWS else narrow
+
+
 def _star_links(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links of every bucket's hub with its members; a hub meets each distinct member once. A hub's members are dealt to parts of
     bounded size by their hash, and the hub goes to every part, so no part is larger where a bucket is."""
@@ -313,7 +320,7 @@ def _star_links(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = common.materialize(pairs, "dup-pairs")
     at = ["hub", "parts", "salt"]
     asked = pairs.select(*at, "node").unionByName(pairs.select(*at).distinct().withColumn("node", F.col("hub")))
-    dealt = asked.join(nodes, "node").select(*at, "node", "sign", "set").repartition(*at).sortWithinPartitions(*at, F.col("node") != F.col("hub"))
+    dealt = _sent(asked, pairs).join(nodes, "node").select(*at, "node", "sign", "set").repartition(*at).sortWithinPartitions(*at, F.col("node") != F.col("hub"))
     links = common.materialize(dealt.mapInArrow(_star_kernel(percent), _PAIRS), "dup-links")
     common.forget(pairs)
     return links
@@ -331,7 +338,7 @@ def _placed(member: DataFrame, groups: DataFrame, parts: DataFrame, nodes: DataF
     now = common.materialize(now, "dup-apart")
     rest = now.where("rest").groupBy("bucket", "parts").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     open_ = rest.select("bucket", _parts(F.col("n"), F.col("words")).alias("rests"), every("parts"))
-    met = now.join(open_, on).join(nodes, "node")
+    met = _sent(now.join(open_, on), now).join(nodes, "node")
     own = F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int")
 
     def place(i: Column, with_rest: bool, j: Column, side: Column) -> Column:
