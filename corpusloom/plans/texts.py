@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.rand import sql_uniform, uniform
+from corpusloom.lineage import materialize
 from corpusloom.operators import lexical as L
 from corpusloom.operators import pairs as P
 from corpusloom.operators import prep as D
@@ -61,7 +62,7 @@ TOP = "select qid, doc_id, round(score, 6) as score, cast(rank as bigint) as ran
 
 
 def okapi_top(spark, d):
-    return _num(R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d)), 10).select("qid", "doc_id", "score", "rank"))
+    return _num(R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d), k=10), 10).select("qid", "doc_id", "score", "rank"))
 
 
 def a13(spark, d):
@@ -78,14 +79,14 @@ def a14(spark, d):
 
 def a16(fn):
     def q(spark, d):
-        return _num(R.ranked(fn(L.index(docs(spark, d)), bench(spark, d)), 10).select("qid", "doc_id", "score", "rank"))
+        return _num(R.ranked(fn(L.index(docs(spark, d)), bench(spark, d), k=10), 10).select("qid", "doc_id", "score", "rank"))
 
     return q
 
 
 def a17(spark, d):
     even = docs(spark, d).where("doc_id % 2 = 0")
-    return _num(R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d), docs=even), 5).select("qid", "doc_id", "score", "rank"))
+    return _num(R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d), docs=even, k=5), 5).select("qid", "doc_id", "score", "rank"))
 
 
 def lines(spark, d):
@@ -99,8 +100,8 @@ def a17_chunks(spark, d):
 
 def v13(spark, d):
     first = docs(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    runs = [L.okapi(L.index(x), bench(spark, d)) for x in (first, docs(spark, d))]
-    return _num(L.page(L.best_fields(runs), 2, 5).select("qid", "doc_id", "score", "rank"))
+    indexes = [L.index(x) for x in (first, docs(spark, d))]
+    return _num(L.page(L.best_fields(indexes, bench(spark, d), k=7), 2, 5).select("qid", "doc_id", "score", "rank"))
 
 
 def a18(spark, d):
@@ -125,8 +126,13 @@ def questions(spark, d):
     return bench(spark, d).select("qid", "text", F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 5, 3), " ")).alias("answers"))
 
 
+def okapi_run(spark, d):
+    """Each item's first ten documents, written: their size is known, so texts that they are joined with stay where they are."""
+    return materialize(R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d), k=10), 10), "run")
+
+
 def qa_hits(spark, d):
-    run = R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d)), 10)
+    run = okapi_run(spark, d)
     return Q.matched(run, docs(spark, d), questions(spark, d))
 
 
@@ -152,7 +158,7 @@ def f14(spark, d):
 def f14_regex(spark, d):
     q = questions(spark, d).select("qid", F.transform("answers", lambda a: F.regexp_replace(a, r"[^A-Za-z ]", ".{1,2}")).alias("answers"))
     q = q.withColumn("answers", F.concat("answers", F.array(F.lit("("))))
-    run = R.ranked(L.okapi(L.index(docs(spark, d)), bench(spark, d)), 10)
+    run = okapi_run(spark, d)
     rows = run.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "qid")
     return rows.select("qid", "doc_id", Q.regex_matched(F.col("text"), F.col("answers")).alias("has_answer"))
 
