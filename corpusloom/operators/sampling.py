@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rand import below, uniform
+from corpusloom.functions.text import bound
 
 from .prep import numbered
 
@@ -45,12 +46,21 @@ def replace_ids(ids: Column, seed: int, key: Column, ratio: float, vocab: int) -
 
 
 def shuffle_some(tokens: Column, seed: int, key: Column, ratio: float) -> Column:
-    """The chosen positions' tokens in a random order, the others in place."""
-    numbered = F.transform(tokens, lambda t, i: F.struct(i.cast("bigint").alias("i"), t.alias("t")))
-    chosen = F.filter(numbered, lambda x: uniform(seed, key, x["i"]) < ratio)
-    order = F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(uniform(seed + 1, key, x["i"]).alias("u"), x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
-    places = F.transform(chosen, lambda x: x["i"])
-    return F.transform(numbered, lambda x: F.when(F.array_contains(places, x["i"]), F.get(order, F.array_position(places, x["i"]).cast("int") - 1)).otherwise(x["t"]))
+    """The chosen positions' tokens in a random order, the others in place (G3). Chosen and other positions are sorted
+    back into place together, so no position is searched for."""
+
+    def placed(t: Column) -> Column:
+        numbered = F.transform(t, lambda x, i: F.struct(i.cast("bigint").alias("i"), (uniform(seed, key, i.cast("bigint")) < ratio).alias("hit"), x.alias("t")))
+        return bound(numbered, shuffled)
+
+    def shuffled(numbered: Column) -> Column:
+        chosen = F.filter(numbered, lambda x: x["hit"])
+        drawn = F.sort_array(F.transform(chosen, lambda x: F.struct(uniform(seed + 1, key, x["i"]).alias("u"), x["i"].alias("i"), x["t"].alias("t"))))
+        moved = F.zip_with(chosen, drawn, lambda x, y: F.struct(x["i"].alias("i"), y["t"].alias("t")))
+        stay = F.transform(F.filter(numbered, lambda x: ~x["hit"]), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))
+        return F.transform(F.sort_array(F.concat(moved, stay)), lambda x: x["t"])
+
+    return bound(tokens, placed)
 
 
 def mlm_mask(tokens: Column, seed: int, key: Column, vocab: Column, ratio: float = 0.15) -> Column:
