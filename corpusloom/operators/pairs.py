@@ -62,12 +62,15 @@ def pair_classification(rows: DataFrame) -> DataFrame:
     return top.join(ap).select(F.col("a.value").alias("accuracy"), F.col("a.threshold").alias("accuracy_threshold"), F.col("f.value").alias("f1"), F.col("f.threshold").alias("f1_threshold"), "ap")
 
 
-def reranking(rows: DataFrame, k: int = 10) -> DataFrame:
+def reranking(rows: DataFrame, k: int = 10, mixed_only: bool = True) -> DataFrame:
     """MAP and MRR@k of rows(sample_id, subquery_id, cand_id, score, relevant): a candidate scores its best
-    sub-query; samples without positives or negatives are dropped (A25, P12)."""
+    sub-query; samples without positives or negatives are dropped (A25, P12). Without mixed_only they stay: one without
+    positives has an MRR of 0 and no part in the MAP."""
     best = rows.groupBy("sample_id", "cand_id").agg(F.max("score").alias("score"), F.max("relevant").alias("relevant"))
-    mixed = best.groupBy("sample_id").agg(F.min("relevant").alias("lo"), F.max("relevant").alias("hi")).where("lo < hi")
-    top = ranked(best.join(mixed, "sample_id", "left_semi").select(F.col("sample_id").alias("qid"), F.col("cand_id").alias("doc_id"), "score", "relevant"))
+    if mixed_only:
+        mixed = best.groupBy("sample_id").agg(F.min("relevant").alias("lo"), F.max("relevant").alias("hi")).where("lo < hi")
+        best = best.join(mixed, "sample_id", "left_semi")
+    top = ranked(best.select(F.col("sample_id").alias("qid"), F.col("cand_id").alias("doc_id"), "score", "relevant"))
     hits = F.sum("relevant").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     per = top.withColumn("hits", hits).groupBy("qid").agg(F.avg(F.when(F.col("relevant") == 1, F.col("hits") / F.col("rank"))).alias("ap"), F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"))
     return per.agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr"))
