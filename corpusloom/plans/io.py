@@ -70,11 +70,11 @@ def s15(s, d):
 
 
 def s16(s, d):
-    """Five shards, of which the second of two ranks gets the last two; and the first alone."""
+    """Five shards, a folder each, of which the second of two ranks gets the last two; and the first alone."""
     p = here(s, "tokens")
     rows = docs(s, d).select(F.col("doc_id").alias("id"), F.transform(F.split("text", " "), lambda x: F.length(x)).alias("tokens"), (F.col("doc_id") % 5).alias("g"))
-    rows.repartition(1).write.partitionBy("g").parquet(p)
-    parts = {"split": I.token_shards(s, p, "split", 1, 2), "single": I.token_shards(s, p, "single"), "full": I.token_shards(s, p)}
+    rows.write.partitionBy("g").parquet(p)
+    parts = {"split": I.token_shards(s, p, "split", 1, 2, folders=True), "single": I.token_shards(s, p, "single", folders=True), "full": I.token_shards(s, p, folders=True)}
     out = None
     for mode, df in parts.items():
         df = df.groupBy().agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"), F.sum("id").alias("ids")).select(F.lit(mode).alias("mode"), "*")

@@ -140,11 +140,15 @@ def embeddings(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema("id string, embedding array<float>").parquet(glob)
 
 
-def token_shards(spark: SparkSession, folder: str, mode: str = "full", rank: int = 0, world: int = 1, schema: str = "id bigint, tokens array<int>") -> DataFrame:
+def token_shards(spark: SparkSession, folder: str, mode: str = "full", rank: int = 0, world: int = 1, schema: str = "id bigint, tokens array<int>", folders: bool = False) -> DataFrame:
     """Token shards below a folder in the order of their paths (S16): all of them, the first alone ("single"), or one rank's
-    share ("split": contiguous, the first ranks get one more). Only the names of files are looked at to choose."""
+    share ("split": contiguous, the first ranks get one more). Only the names of files are looked at to choose.
+    A shard is a file, or with folders the files of one folder, so it can be written by many tasks."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.p*").load(folder).select("path")
-    files = sorted(r["path"] for r in names.collect())
+    parts: dict[str, list[str]] = {}
+    for path in sorted(r["path"] for r in names.collect()):
+        parts.setdefault(path.rsplit("/", 1)[0] if folders else path, []).append(path)
+    files = sorted(parts)
     if mode == "split":
         size, more = divmod(len(files), world)
         at = rank * size + min(rank, more)
@@ -153,7 +157,8 @@ def token_shards(spark: SparkSession, folder: str, mode: str = "full", rank: int
         files = files[:1]
     elif mode != "full":
         raise ValueError(f"no such mode: {mode}; one of full, single, split")
-    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    chosen = [path for x in files for path in parts[x]]
+    return spark.read.schema(schema).parquet(*chosen) if chosen else spark.createDataFrame([], schema)
 
 
 def shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
