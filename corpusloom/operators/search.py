@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vector as V
+from corpusloom.lineage import materialize
 from corpusloom.shipping import ship
 
 from .ranking import ranked
@@ -63,13 +64,19 @@ def _probed_scores(x: np.ndarray, cells: np.ndarray, q: np.ndarray, kind: str, p
 ROW_TILE, QUERY_TILE = 1024, 1024
 
 
-def _tiles(batches, q: np.ndarray):
-    """(vectors, ids, batch) of at most ROW_TILE rows, read without a Python number per component."""
+def _tiles(batches, q: np.ndarray, books: list[np.ndarray] | None = None):
+    """(vectors, ids, batch) of at most ROW_TILE rows, read without a Python number per component; with codebooks, rows hold
+    codes and are decoded here."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROW_TILE):
             part = batch.slice(at, ROW_TILE)
             x = part.column("e").flatten().to_numpy(zero_copy_only=False)
-            yield x.astype(np.float64).reshape(part.num_rows, q.shape[1]), part.column("doc_id").to_numpy(zero_copy_only=False), part
+            if books is None:
+                x = x.astype(np.float64).reshape(part.num_rows, q.shape[1])
+            else:
+                codes = x.reshape(part.num_rows, len(books))
+                x = np.concatenate([book[codes[:, p]] for p, book in enumerate(books)], axis=1)
+            yield x, part.column("doc_id").to_numpy(zero_copy_only=False), part
 
 
 def best_of_rows(s: np.ndarray, live: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +97,8 @@ def best_of_rows(s: np.ndarray, live: np.ndarray, docs: np.ndarray, k: int) -> t
 
 def _kernel(block, k: int, kind: str, exclude_self: bool, threshold: float | None):
     def run(batches):
-        ids, q, probed = block.value
-        for x, docs, part in _tiles(batches, q):
+        ids, q, probed, books = block.value
+        for x, docs, part in _tiles(batches, q, books):
             for at in range(0, len(ids), QUERY_TILE):
                 some, mine = q[at : at + QUERY_TILE], ids[at : at + QUERY_TILE]
                 if probed is None:
@@ -119,13 +126,14 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int, score: str = "co
     return _search(queries, rows, k, score, exclude_self, threshold)
 
 
-def _search(queries: DataFrame, rows: DataFrame, k: int, score: str, exclude_self: bool, threshold: float | None = None, probe=None) -> DataFrame:
-    """The search over rows(doc_id, e), or, with probe(query vectors) -> (queries, cells) of bool, over rows(doc_id, e, cell)."""
+def _search(queries: DataFrame, rows: DataFrame, k: int, score: str, exclude_self: bool, threshold: float | None = None, probe=None, books: list[np.ndarray] | None = None) -> DataFrame:
+    """The search over rows(doc_id, e), or, with probe(query vectors) -> (queries, cells) of bool, over rows(doc_id, e, cell).
+    With codebooks e holds a row's codes."""
     spark = rows.sparkSession
     ship(spark)
     out = None
     for ids, vectors in _query_blocks(queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")):
-        sent = spark.sparkContext.broadcast((ids, vectors, None if probe is None else probe(vectors)))
+        sent = spark.sparkContext.broadcast((ids, vectors, None if probe is None else probe(vectors), books))
         part = rows.mapInArrow(_kernel(sent, k, score, exclude_self, threshold), "qid bigint, doc_id bigint, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -258,25 +266,15 @@ def _refined(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, wide
 def _code_kernel(sent):
     def run(batches):
         books = sent.value
-        for batch in batches:
-            x = np.array(batch.column("e").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            codes, at = [], 0
-            for book in books:
-                part = x[:, at : at + book.shape[1]]
-                codes.append(np.argmin((book * book).sum(1)[None, :] - 2 * part @ book.T, axis=1))
+        width = sum(book.shape[1] for book in books)
+        for x, _, part in _tiles(batches, np.empty((0, width))):
+            codes, at = np.empty((len(x), len(books)), np.int32), 0
+            for p, book in enumerate(books):
+                some = x[:, at : at + book.shape[1]]
+                codes[:, p] = np.argmin((book * book).sum(1)[None, :] - 2 * some @ book.T, axis=1)
                 at += book.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.stack(codes, axis=1).tolist(), pa.list_(pa.int32()))], ["doc_id", "codes"])
-
-    return run
-
-
-def _decode_kernel(sent):
-    def run(batches):
-        books = sent.value
-        for batch in batches:
-            codes = np.array(batch.column("codes").to_pylist(), np.int64).reshape(batch.num_rows, len(books))
-            x = np.concatenate([book[codes[:, p]] for p, book in enumerate(books)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "e"])
+            ends = np.arange(len(x) + 1, dtype=np.int32) * len(books)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))], ["doc_id", "e"])
 
     return run
 
@@ -296,8 +294,9 @@ def pq_search(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 16, co
         part = data.select(array_to_vector(F.slice("e", int(at[0]) + 1, len(at))).alias("features"))
         books.append(np.array(KMeans(k=codes, seed=seed, maxIter=8).fit(part).clusterCenters()))
     sent = spark.sparkContext.broadcast(books)
-    coded = data.mapInArrow(_code_kernel(sent), "doc_id bigint, codes array<int>")
-    run = _search(queries, coded.mapInArrow(_decode_kernel(sent), "doc_id bigint, e array<double>"), max(k, wide), "dot", True)
+    # codes are written: a stage then has one Python kernel, where coding, decoding and searching each had workers of their own
+    coded = materialize(data.mapInArrow(_code_kernel(sent), "doc_id bigint, e array<int>"), "codes")
+    run = _search(queries, coded, max(k, wide), "dot", True, books=books)
     return _refined(run, queries, corpus, k, max(k, wide))
 
 
