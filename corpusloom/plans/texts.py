@@ -160,7 +160,7 @@ def f14_regex(spark, d):
     q = q.withColumn("answers", F.concat("answers", F.array(F.lit("("))))
     run = okapi_run(spark, d)
     rows = run.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "qid")
-    return rows.select("qid", "doc_id", Q.regex_matched(F.col("text"), F.col("answers")).alias("has_answer"))
+    return rows.select("qid", "doc_id", Q.regex_matched(F.col("text"), F.col("answers"), decomposed=False).alias("has_answer"))
 
 
 def a10(spark, d):
