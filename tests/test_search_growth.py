@@ -39,6 +39,7 @@ def shuffled(spark, run):
     [
         "A16_bm25_plus",
         "A10_V21_hit_curve",
+        "A11_macro_recall",
     ],
 )
 def test_less_than_the_texts_is_shuffled(name, spark, tables):
