@@ -40,6 +40,7 @@ def shuffled(spark, run):
         "A16_bm25_plus",
         "A10_V21_hit_curve",
         "A11_macro_recall",
+        "F14_has_answer",
     ],
 )
 def test_less_than_the_texts_is_shuffled(name, spark, tables):
