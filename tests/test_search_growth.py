@@ -41,6 +41,7 @@ def shuffled(spark, run):
         "A10_V21_hit_curve",
         "A11_macro_recall",
         "F14_has_answer",
+        "F14_regex_answer",
     ],
 )
 def test_less_than_the_texts_is_shuffled(name, spark, tables):
