@@ -38,6 +38,7 @@ def shuffled(spark, run):
     "name",
     [
         "A16_bm25_plus",
+        "A16_bm25_l",
         "A10_V21_hit_curve",
         "A11_macro_recall",
         "F14_has_answer",
