@@ -43,6 +43,7 @@ def shuffled(spark, run):
         "A11_macro_recall",
         "F14_has_answer",
         "F14_regex_answer",
+        "K1_W6_nested_results",
     ],
 )
 def test_less_than_the_texts_is_shuffled(name, spark, tables):
