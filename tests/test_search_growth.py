@@ -44,6 +44,7 @@ def shuffled(spark, run):
         "F14_has_answer",
         "F14_regex_answer",
         "K1_W6_nested_results",
+        "K2_recall_curve",
     ],
 )
 def test_less_than_the_texts_is_shuffled(name, spark, tables):
