@@ -60,10 +60,11 @@ def hit_curve(first: DataFrame, n_docs: int) -> DataFrame:
 
 
 def nested_results(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row per question: hit_min_rank, all_hits and ctxs by rank (K1)."""
+    """One row per question: hit_min_rank, all_hits and ctxs by rank, both empty where nothing was found (K1)."""
     ctx = F.struct("rank", F.col("doc_id").alias("id"), "score", "has_answer")
     rows = hits.groupBy("qid").agg(F.array_sort(F.collect_list(ctx)).alias("ctxs"))
-    rows = questions.join(rows, "qid", "left").withColumn("all_hits", F.transform(F.filter("ctxs", lambda c: c["has_answer"]), lambda c: c["rank"]))
+    rows = questions.join(rows, "qid", "left").withColumn("ctxs", F.coalesce("ctxs", F.array()))
+    rows = rows.withColumn("all_hits", F.transform(F.filter("ctxs", lambda c: c["has_answer"]), lambda c: c["rank"]))
     return rows.withColumn("hit_min_rank", F.array_min("all_hits"))
 
 
