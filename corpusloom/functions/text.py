@@ -27,6 +27,11 @@ def n_words(text: Column | str) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
+def has_words(text: Column | str) -> Column:
+    """Whether words() has any; null for null. Looks no further than the first."""
+    return _c(text).rlike(f"[^{SPACE[1:]}")
+
+
 def squeeze(text: Column | str) -> Column:
     return F.array_join(words(text), " ")
 
